@@ -7,6 +7,7 @@ import importlib
 #: Query name to (module, function); SQL is the module's SQL, where it has one.
 QUERIES = {
     "op1_decontamination": "decontaminate",
+    "op2_near_duplicates": "neardup",
 }
 
 
