@@ -8,6 +8,10 @@ import importlib
 QUERIES = {
     "op1_decontamination": "decontaminate",
     "op2_near_duplicates": "neardup",
+    "op4_embedding_near_duplicates": "embeddings",
+    "op5_token_records": "records",
+    "op7_best_fit_packing": "packing",
+    "op10_chat_formatting": "chat",
 }
 
 
