@@ -35,6 +35,7 @@ BASE, RATE = 1.001, 20.0
 #: A pair is dropped unverified where the likelihood peaks this far below the threshold (5 standard errors).
 MARGIN = 0.14
 TILE = 512
+BITMAP = 1 << 22
 
 
 def registers(offsets: np.ndarray, hashes: np.ndarray, m: int) -> np.ndarray:
@@ -141,6 +142,19 @@ def _links(tiles: DataFrame, k: int, m: int, over: int, under: int) -> DataFrame
     return tiles.mapInArrow(link, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
+def _in_bitmap(docs: DataFrame, family: DataFrame) -> DataFrame:
+    """The documents whose id's hash is among those of the family members': all of these, few others.
+
+    The bitmap has BITMAP bits (half a megabyte) however many members there are; it only saves shuffling.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP)) + 1
+    bits = family.select(place("node").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    at = F.bitmap_bit_position(place("id"))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = docs.withColumn("bucket", F.bitmap_bucket_number(place("id"))).join(F.broadcast(bits), "bucket")
+    return found.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(pmod(xxhash64(id), {0}) + 1) % 8 as int))".format(BITMAP))) != 0).select("id", "text")
+
+
 def near_duplicates(
     documents: DataFrame,
     *,
@@ -172,8 +186,9 @@ def near_duplicates(
     family = written(family, "family")
     sizes = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("tiles"))
     members = family.join(sizes, "family").select("node", "family", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
+    # neither side has a bound, so neither is ever broadcast; most texts are in no family and are left out by a bitmap first
     cut = (
-        docs.join(members, docs["id"] == members["node"])
+        _in_bitmap(docs, family).join(members.hint("merge"), F.col("id") == F.col("node"))
         .select("id", "text", "family", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
         .select("id", "text", "family", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "family", "i", "j")
