@@ -10,7 +10,9 @@ QUERIES = {
     "op2_near_duplicates": "neardup",
     "op4_embedding_near_duplicates": "embeddings",
     "op5_token_records": "records",
+    "op6_language_id": "langid",
     "op7_best_fit_packing": "packing",
+    "op9_lm_scoring": "lm",
     "op10_chat_formatting": "chat",
 }
 
