@@ -8,10 +8,12 @@ import importlib
 QUERIES = {
     "op1_decontamination": "decontaminate",
     "op2_near_duplicates": "neardup",
+    "op3_license_scan": "licenses",
     "op4_embedding_near_duplicates": "embeddings",
     "op5_token_records": "records",
     "op6_language_id": "langid",
     "op7_best_fit_packing": "packing",
+    "op8_html_extraction": "html",
     "op9_lm_scoring": "lm",
     "op10_chat_formatting": "chat",
 }
