@@ -92,6 +92,10 @@ def licence_lines(files: DataFrame, *, key_col: str, text_col: str, templates: d
 
     lines = files.where(some(text_col)).select(F.col(key_col).alias("key"), F.posexplode(F.split(text_col, "\r\n|\n|\r")).alias("line", "said"))
     lines = lines.where(some("said")).withColumn("terms", F.regexp_extract_all(F.lower("said"), F.lit(f"({WORD})"), 1)).where(F.arrays_overlap("terms", needed))
+    # a cosine is at most the length of the template's part on the line's terms
+    held = F.array_distinct(F.array_intersect("terms", F.array(*(F.lit(t) for t in sorted(w.idf)))))
+    lines = lines.withColumn("held", held)
+    lines = lines.where(reduce(lambda x, y: x | y, [sum((F.array_contains("held", t).cast("int") * F.lit(x * x) for t, x in sorted(v.items())), F.lit(1e-6)) >= cosine**2 for _, v in w.vectors]))
     lines = lines.select(F.col("key"), "line", F.explode("terms").alias("term")).groupBy("key", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
     # both tables hold the templates' terms and nothing of the files
     idf = F.broadcast(_table(spark, "term, idf", sorted(w.idf.items())))
