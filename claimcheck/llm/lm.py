@@ -9,6 +9,12 @@ corpus, its discounted relative count joined with the path through its letters;
 the failure arc to the letters. The end of a word leads back to the start state, so a word's
 weight is the same wherever it stands and is found once for each distinct word.
 
+A corpus holds texts of several kinds (languages, above all), so the start state is one of KINDS:
+a text's probability is the sum over the kinds of their share times the text's path from that
+kind's start state, whose word arcs have that kind's counts. Kinds are a mixture fitted to the
+most frequent words of a bounded sample (``sample_rows``); each training text counts for its
+likeliest kind. The states below the start, the letters, are shared.
+
 Counts cover the whole training corpus and grow with it. N-grams rarer than ``rarest`` of all
 symbols have no arc of their own (shorter contexts stand in for them), so at most
 ORDER / rarest arcs reach the driver and the tasks, whatever the corpus.
@@ -20,10 +26,13 @@ blocks, and come back to the block with their count and weight, where its docume
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +45,9 @@ ORDER = 5
 RAREST = 2e-6
 DISCOUNT = 0.6
 BLOCK_BYTES = 48 << 20
+KINDS = 4
+#: Words that tell kinds apart, and rows of the sample they are found in.
+MARKERS, SAMPLE_ROWS = 256, 1500
 # Symbols: byte + 1, then these (fixed values); 0 is no symbol.
 WORD_END, TEXT_END, START = 257, 258, 259
 BITS = 9
@@ -184,21 +196,82 @@ class Automaton:
         return float(self.step(np.array([self.start]), np.array([TEXT_END]))[1][0])
 
 
-MADE = "block long, train boolean, n_tokens long, codes binary, word string, idx int, n long"
+class Kinds:
+    """A mixture of multinomials over the words most documents of a sample share."""
+
+    def __init__(self, texts: list[dict[str, int]], kinds: int) -> None:
+        df: Counter = Counter(w for t in texts for w in t)
+        self.words = [w for w, _ in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:MARKERS]]
+        at = {w: k for k, w in enumerate(self.words)}
+        x = np.zeros((len(texts), max(1, len(self.words))))
+        for i, t in enumerate(texts):
+            for w, n in t.items():
+                if w in at:
+                    x[i, at[w]] = n
+        x = np.sqrt(x[x.sum(1) > 0])
+        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        centres = [unit.mean(0)] if len(unit) else [np.ones(x.shape[1])]
+        if len(unit):
+            centres = [unit[int((unit @ centres[0]).argmin())]]
+            while len(centres) < min(kinds, len(unit)):
+                centres.append(unit[int((unit @ np.array(centres).T).max(1).argmin())])
+        centres = np.array(centres)
+        for _ in range(30):
+            if not len(unit):
+                break
+            who = (unit @ centres.T).argmax(1)
+            centres = np.array([unit[who == k].mean(0) if (who == k).any() else c for k, c in enumerate(centres)])
+            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+        mass = centres**2 + 1e-4
+        self.log = np.log(mass / mass.sum(1, keepdims=True))
+
+    def __len__(self) -> int:
+        return len(self.log)
+
+    def of(self, rows: np.ndarray, codes: np.ndarray, times: np.ndarray, distinct: pa.StringArray, n: int) -> np.ndarray:
+        """The likeliest kind of each of n texts, from its distinct words and how often they stand there."""
+        out = np.zeros((n, len(self)))
+        if len(distinct) and self.words:
+            place = np.asarray(pc.fill_null(pc.index_in(distinct, value_set=pa.array(self.words, pa.string())), -1), np.int64)[codes]
+            on = place >= 0
+            np.add.at(out, rows[on], times[on, None] * self.log.T[place[on]])
+        return out.argmax(1)
+
+
+def find_kinds(rows: DataFrame, kinds: int, sample_rows: int) -> Kinds:
+    """From at most ``sample_rows`` training rows, those with the smallest hashes; of each its most frequent words."""
+    marked = rows.where("train and text is not null").withColumn("h", F.xxhash64("id"))
+    last = marked.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    if last is None or kinds < 2:
+        return Kinds([], 1)
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches, "text"):
+            offsets, codes, distinct = words_of(translated(strings(b.column("text")), LOWER))
+            names, out = distinct.to_pylist(), []
+            for i in range(b.num_rows):
+                top = Counter(codes[offsets[i] : offsets[i + 1]].tolist()).most_common(MARKERS)
+                out.append(json.dumps({names[k]: n for k, n in top}))
+            yield pa.RecordBatch.from_arrays([pa.array(out)], ["words"])
 
+    got = marked.where(F.col("h") <= last).select("text").mapInArrow(frequent, "words string").limit(2 * sample_rows).collect()
+    return Kinds([json.loads(r["words"]) for r in got], kinds)
 
-def _blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
-    """Documents (id, n_tokens, codes: distinct words and how often) and distinct words (word, idx, n in training), by block."""
+
+def _blocks(rows: DataFrame, kinds: Kinds, block_bytes: int) -> DataFrame:
+    """Documents (id, kind, n_tokens, codes: distinct words and how often) and distinct words (word, idx, n0, n1, ... in training by kind), by block."""
+    sent = rows.sparkSession.sparkContext.broadcast(kinds)
+    many = len(kinds)
+    names = ["id", "block", "train", "kind", "n_tokens", "codes", "word", "idx", *(f"n{k}" for k in range(many))]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
         pack = zstandard.ZstdCompressor(level=1)
-        number, held, ids = 0, [], None
+        number, ids, size = 0, None, 0
         vocabulary: dict[str, int] = {}
-        counts = np.zeros(1 << 16, np.int64)
-        size = 0
+        counts = np.zeros((many, 1 << 16), np.int64)
 
         def vocabulary_rows(block: int) -> Iterator[pa.RecordBatch]:
             n = len(vocabulary)
@@ -206,9 +279,8 @@ def _blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
             for a in range(0, n, 50_000):
                 m = min(50_000, n - a)
                 none = lambda kind: pa.nulls(m, kind)
-                yield pa.RecordBatch.from_arrays([none(ids), pa.array(np.full(m, block)), none(pa.bool_()), none(pa.int64()), none(pa.binary()), words.slice(a, m), pa.array(np.arange(a, a + m), pa.int32()), pa.array(counts[a : a + m])], names)
+                yield pa.RecordBatch.from_arrays([none(ids), pa.array(np.full(m, block)), none(pa.bool_()), none(pa.int32()), none(pa.int64()), none(pa.binary()), words.slice(a, m), pa.array(np.arange(a, a + m), pa.int32()), *(pa.array(c[a : a + m]) for c in counts)], names)
 
-        names = ["id", "block", "train", "n_tokens", "codes", "word", "idx", "n"]
         for b in steps(batches, "text"):
             ids = b.column("id").type
             block = (task << 32) + number
@@ -216,34 +288,38 @@ def _blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
             to = np.empty(len(distinct), np.int64)
             for k, w in enumerate(distinct.to_pylist()):
                 to[k] = vocabulary.setdefault(w, len(vocabulary))
-            while len(vocabulary) > len(counts):
-                counts = np.concatenate([counts, np.zeros(len(counts), np.int64)])
+            while len(vocabulary) > counts.shape[1]:
+                counts = np.concatenate([counts, np.zeros_like(counts)], 1)
+            rows_ = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+            near, often = np.unique(rows_ << 32 | codes, return_counts=True)
+            kind = sent.value.of(near >> 32, near & 0xFFFFFFFF, often, distinct, b.num_rows)
             codes = to[codes] if len(codes) else codes.astype(np.int64)
             train = np.asarray(b.column("train"))
-            rows_ = np.repeat(np.arange(b.num_rows), np.diff(offsets))
-            counts += np.bincount(codes[train[rows_]], minlength=len(counts))[: len(counts)]
+            width = counts.shape[1]
+            on = train[rows_]
+            counts += np.bincount(kind[rows_[on]] * width + codes[on], minlength=many * width).reshape(many, width)
             pair, times = np.unique(rows_ << 32 | codes, return_counts=True)
             cut_at = np.searchsorted(pair, np.arange(b.num_rows + 1) << 32)
             packed = []
             for i in range(b.num_rows):
                 c = (pair[cut_at[i] : cut_at[i + 1]] & 0xFFFFFFFF).astype("<u4")
-                packed.append(pack.compress(np.concatenate([np.diff(c, prepend=c[:0]).astype("<u4") if len(c) == 0 else np.concatenate([c[:1], np.diff(c)]), times[cut_at[i] : cut_at[i + 1]].astype("<u4")]).astype("<u4").tobytes()))
+                packed.append(pack.compress(np.concatenate([c[:1], np.diff(c), times[cut_at[i] : cut_at[i + 1]]]).astype("<u4").tobytes()))
             m = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.full(m, block)), b.column("train"), pa.array(np.diff(offsets)), pa.array(packed, pa.binary()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.full(m, block)), b.column("train"), pa.array(kind, pa.int32()), pa.array(np.diff(offsets)), pa.array(packed, pa.binary()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int32()), *(pa.nulls(m, pa.int64()) for _ in range(many))], names)
             size += int(offsets[-1]) * 7
             if size > block_bytes:
                 yield from vocabulary_rows(block)
                 number, size = number + 1, 0
                 vocabulary.clear()
-                counts = np.zeros(1 << 16, np.int64)
+                counts = np.zeros((many, 1 << 16), np.int64)
         if vocabulary:
             yield from vocabulary_rows((task << 32) + number)
 
-    kind = rows.schema["id"].dataType
-    return rows.mapInArrow(cut, T.StructType([T.StructField("id", kind), *T._parse_datatype_string(MADE).fields]))
+    made = "block long, train boolean, kind int, n_tokens long, codes binary, word string, idx int, " + ", ".join(f"n{k} long" for k in range(many))
+    return rows.mapInArrow(cut, T.StructType([T.StructField("id", rows.schema["id"].dataType), *T._parse_datatype_string(made).fields]))
 
 
-def scored(documents: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "text", rarest: float = RAREST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scored(documents: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "text", rarest: float = RAREST, block_bytes: int = BLOCK_BYTES, kinds: int = KINDS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """id, train, n_tokens, n_known, train_tokens, base_score, score of each row; ``train`` is a boolean column.
 
     Null texts are empty; an empty text is one end. Rows that repeat a document are scored and
@@ -253,12 +329,21 @@ def scored(documents: DataFrame, train, *, id_col: str = "doc_id", text_col: str
     """
     spark = documents.sparkSession
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    made = written(_blocks(rows, block_bytes), "blocks")
-    vocabulary = made.where("word is not null").select("block", "word", "idx", "n")
-    counts = written(vocabulary.groupBy("word").agg(F.sum("n").alias("c")), "counts")
-    ends = made.where("codes is not null and train").count()
-    known, tokens, length, once, twice = counts.where("c > 0").agg(F.count(F.lit(1)), F.sum("c"), F.sum((F.octet_length("word") + 1) * F.col("c")), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    found = find_kinds(rows, kinds, sample_rows)
+    many = range(len(found))
+    made = written(_blocks(rows, found, block_bytes), "blocks")
+    vocabulary = made.where("word is not null").select("block", "word", "idx", *(f"n{k}" for k in many))
+    counts = written(vocabulary.groupBy("word").agg(*(F.sum(f"n{k}").alias(f"c{k}") for k in many)).withColumn("c", sum(F.col(f"c{k}") for k in many)), "counts")
+    texts = {r["kind"]: r["n"] for r in made.where("codes is not null and train").groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    texts = np.array([texts.get(k, 0) for k in many], np.float64)
+    ends = int(texts.sum())
+    c = F.col("c")
+    sums = counts.where("c > 0").agg(F.count(F.lit(1)), F.sum("c"), F.sum((F.octet_length("word") + 1) * c), F.count_if(c == 1), F.count_if(c == 2), *(f(k) for k in many for f in (lambda k: F.sum(f"c{k}"), lambda k: F.count_if(F.col(f"c{k}") > 0)))).first()
+    known, tokens, length, once, twice = sums[:5]
     total, distinct, length = (tokens or 0) + ends, known + (ends > 0), (length or 0) + ends
+    # by kind: tokens and distinct tokens, ends included
+    size = np.array([sums[5 + 2 * k] or 0 for k in many], np.float64) + texts
+    types = np.array([sums[6 + 2 * k] for k in many], np.float64) + (texts > 0)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -282,13 +367,14 @@ def scored(documents: DataFrame, train, *, id_col: str = "doc_id", text_col: str
         keys = np.concatenate([keys, [1 << (BITS * ORDER) | TEXT_END, 2 << (BITS * ORDER) | START << BITS | TEXT_END]])
         n = np.concatenate([n, [ends, ends]])
     automaton = Automaton(keys, n)
-    # the start state has an arc for each training word: its discounted count, and the letters' share of what that frees
+    # a start state has an arc for each training word: its discounted count, and the letters' share of what that frees
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    free = np.log(discount * distinct / total) if total else 0.0
+    free = np.log(np.where(size > 0, discount * types / np.maximum(size, 1), 1.0))
 
     def joined(c: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Weights by word and kind; ``c``: counts by word and kind."""
         with np.errstate(divide="ignore"):
-            return np.logaddexp(np.log(np.maximum(c - discount, 0) / max(total, 1)), free + weight)
+            return np.logaddexp(np.log(np.maximum(c - discount, 0) / np.maximum(size, 1)), free + weight[:, None])
 
     sent = spark.sparkContext.broadcast(automaton)
 
@@ -296,17 +382,22 @@ def scored(documents: DataFrame, train, *, id_col: str = "doc_id", text_col: str
         for b in batches:
             for a in range(0, b.num_rows, 20_000):
                 s = b.slice(a, 20_000)
-                yield pa.RecordBatch.from_arrays([s.column("word"), s.column("c"), pa.array(joined(np.asarray(s.column("c")), sent.value.words(strings(s.column("word")))))], ["word", "c", "weight"])
+                by = np.stack([np.asarray(s.column(f"c{k}"), np.float64) for k in many], 1)
+                weights = joined(by, sent.value.words(strings(s.column("word")))).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([s.column("word"), s.column("c"), *(pa.array(weights[:, k]) for k in many)], ["word", "c", *columns])
 
-    weighed = counts.mapInArrow(weigh, "word string, c long, weight double")
-    back = vocabulary.select("block", "word", "idx").join(weighed, "word").select("block", F.lit(0).alias("kind"), "idx", "c", "weight")
+    columns = [f"w{k}" for k in many]
+    weighed = counts.mapInArrow(weigh, "word string, c long, " + ", ".join(f"{w} float" for w in columns))
+    back = vocabulary.select("block", "word", "idx").join(weighed, "word").select("block", F.lit(0).alias("kind"), "idx", "c", *columns)
     none = lambda kind: F.lit(None).cast(kind)
     id_kind = rows.schema["id"].dataType
-    texts = made.where("codes is not null").select("block", F.lit(1).alias("kind"), none("int").alias("idx"), none("long").alias("c"), none("double").alias("weight"), "id", "train", "n_tokens", "codes")
-    both = back.select("*", none(id_kind).alias("id"), none("boolean").alias("train"), none("long").alias("n_tokens"), none("binary").alias("codes")).unionByName(texts)
+    rest = made.where("codes is not null").select("block", F.lit(1).alias("kind"), none("int").alias("idx"), none("long").alias("c"), *(none("float").alias(w) for w in columns), "id", "train", "n_tokens", "codes")
+    both = back.select("*", none(id_kind).alias("id"), none("boolean").alias("train"), none("long").alias("n_tokens"), none("binary").alias("codes")).unionByName(rest)
     both = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").sortWithinPartitions("block", "kind")
     unit = np.log10(np.e)
-    floor, end_base, end_weight = np.log10(total + 0.5 * (distinct + 1)), np.log10(ends + 0.5), float(joined(np.array([ends]), np.array([automaton.end()]))[0])
+    floor, end_base = np.log10(total + 0.5 * (distinct + 1)), np.log10(ends + 0.5)
+    # what every text has: its kind's share and its end
+    first = joined(texts[None], np.array([automaton.end()]))[0] + np.log((texts + 0.5) / (texts + 0.5).sum())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -315,12 +406,14 @@ def scored(documents: DataFrame, train, *, id_col: str = "doc_id", text_col: str
             if g["kind"][0].as_py() == 0:
                 idx = np.asarray(g["idx"])
                 at = g["block"][0].as_py()
-                count, weight = np.zeros(idx.max() + 1), np.zeros(idx.max() + 1)
-                count[idx], weight[idx] = np.asarray(g["c"]), np.asarray(g["weight"])
+                count, weight = np.zeros(idx.max() + 1), np.zeros((idx.max() + 1, len(columns)))
+                count[idx] = np.asarray(g["c"])
+                for k, w in enumerate(columns):
+                    weight[idx, k] = np.asarray(g[w])
                 base = np.log10(count + 0.5) - floor
                 continue
             if at != g["block"][0].as_py():
-                base, weight, count = np.zeros(1), np.zeros(1), np.zeros(1)
+                base, weight, count = np.zeros(1), np.zeros((1, len(columns))), np.zeros(1)
             for b in g.to_batches():
                 known, low, high = [], [], []
                 for raw in b.column("codes").to_pylist():
@@ -328,7 +421,7 @@ def scored(documents: DataFrame, train, *, id_col: str = "doc_id", text_col: str
                     c, times = np.cumsum(x[: len(x) // 2], dtype=np.int64), x[len(x) // 2 :]
                     known.append(int(times[count[c] > 0].sum()) + (ends > 0))
                     low.append(float((times * base[c]).sum() + end_base - floor))
-                    high.append(float(((times * weight[c]).sum() + end_weight) * unit))
+                    high.append(float(np.logaddexp.reduce(times @ weight[c] + first) * unit))
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("train"), pa.array(np.asarray(b.column("n_tokens")) + 1), pa.array(known, pa.int64()), pa.array(np.full(b.num_rows, total, np.int64)), pa.array(low, pa.float64()), pa.array(high, pa.float64())], ["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = T.StructType([T.StructField("id", id_kind), *T._parse_datatype_string("train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
