@@ -1,16 +1,24 @@
 """Many plans over one table in few jobs: scan sharing before Catalyst sees the query.
 
-Every scalar plan (aggregate, change, share) becomes conditional aggregates of one scan, with
-the union of their periods as a filter that reaches the source; equal (measure, slice) pairs are
-computed once. Ranking plans that differ only in the asked key share one grouped job. A batch of
-very many distinct slices is cut into jobs of ``width`` aggregates.
+Scalar plans (aggregate, change, share) ask for measures over slices: whole days, and at most one
+value of a dimension. All of them are answered by one grouped scan, by days (or months, where every
+period is of whole months) and by the values asked for, with the union of the periods as a filter
+that reaches the source. What comes back is bounded by the calendar and the question, not by the
+data, and is added up on the driver, exactly. Where very many combinations of values are asked
+for, conditional aggregates in jobs of ``width`` do the same. Ranking plans that differ only in
+the asked key share one grouped job.
 """
 
 from __future__ import annotations
 
+import math
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import measures as M
 from ..model import AggregatePlan, ChangePlan, Computed, Measure, Plan, RankPlan, SharePlan, Slice
@@ -19,6 +27,8 @@ from ..sources.dataset import Dataset
 from . import evidence
 
 WIDTH = 300
+#: A grouped scan is made for at most so many combinations of asked values, and values of one dimension.
+COMBINATIONS, VALUES = 10_000, 500
 
 
 def slices(plan: Plan) -> list[tuple[Measure, Slice]]:
@@ -52,34 +62,98 @@ def answer(plan: Plan, got: list[tuple[float | None, int, int]], time: str) -> C
 
 
 def scalars(ds: Dataset, time: str, wanted: list[tuple[Measure, Slice]], *, exact: bool = False, width: int = WIDTH) -> dict[tuple[Measure, Slice], tuple[float | None, int, int]]:
-    out: dict[tuple[Measure, Slice], tuple[float | None, int, int]] = {}
     wanted = list(dict.fromkeys(wanted))
+    if not wanted:
+        return {}
+    values: dict[str, list[str]] = {}
+    for _, r in wanted:
+        if r.column is not None and r.value not in values.setdefault(r.column, []):
+            values[r.column].append(r.value)
+    if math.prod(len(v) + 1 for v in values.values()) <= COMBINATIONS and all(len(v) <= VALUES for v in values.values()):
+        return _grouped(ds, time, wanted, values, exact)
+    out: dict[tuple[Measure, Slice], tuple[float | None, int, int]] = {}
     for a in range(0, len(wanted), width):
         some = wanted[a : a + width]
-        df = batch_frame(ds, time, some, exact=exact)
-        row = df.first()
+        row = batch_frame(ds, time, some, exact=exact).first()
         for k, key in enumerate(some):
             v = row[f"v{k}"]
             out[key] = (None if v is None else float(v), row[f"n{k}"], row[f"u{k}"])
     return out
 
 
-def batch_frame(ds: Dataset, time: str, wanted: list[tuple[Measure, Slice]], *, exact: bool = False):
-    """One row: value, rows and used rows (v0, n0, u0, v1, ...) of each pair, from one scan."""
-    aggregates = []
-    for k, (measure, rows) in enumerate(wanted):
-        inside = M.in_slice(time, rows)
-        aggregates += [M.value(measure, ds.columns, inside, exact).cast("double").alias(f"v{k}"), M.rows(inside).alias(f"n{k}"), M.used(measure, inside).alias(f"u{k}")]
-    periods = sorted({r.period for _, r in wanted}, key=lambda p: (p.start, p.end))
+def _reach(time: str, wanted: list[tuple[Measure, Slice]]) -> Column:
+    """Rows of any of the periods, as few ranges as these make."""
     merged: list[list] = []
-    for p in periods:
+    for p in sorted({r.period for _, r in wanted}, key=lambda p: (p.start, p.end)):
         if merged and p.start <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], p.end)
         else:
             merged.append([p.start, p.end])
     t = M.quoted(time)
-    reach = reduce(lambda x, y: x | y, [(t >= F.lit(s)) & (t < F.lit(e)) for s, e in merged])
-    return ds.df.where(reach).agg(*aggregates)
+    return reduce(lambda x, y: x | y, [(t >= F.lit(s)) & (t < F.lit(e)) for s, e in merged])
+
+
+def grouped_frame(ds: Dataset, time: str, wanted: list[tuple[Measure, Slice]], values: dict[str, list[str]], *, exact: bool = False) -> tuple[DataFrame, list[str]]:
+    """day, d0, d1, ... (which of the asked values a row has), n, and u0, s0, ... of each measured column; and these columns."""
+    months = all(d.day == 1 for _, r in wanted for d in (r.period.start, r.period.end))
+    t = M.quoted(time)
+    keys = [(F.date_trunc("month", t) if months else t).cast("date").alias("day")]
+    for k, (column, asked) in enumerate(values.items()):
+        keys.append(F.coalesce(*(F.when(M.quoted(column) == F.lit(v), F.lit(i)) for i, v in enumerate(asked))).alias(f"d{k}"))
+    columns = sorted({m.column for m, _ in wanted if m.column is not None})
+    sums = {m.column for m, _ in wanted if m.agg != "count"}
+    aggregates = [F.count(F.lit(1)).alias("n")]
+    for k, c in enumerate(columns):
+        x, kind = M.quoted(c), ds.columns[c]
+        aggregates.append(F.count(x).alias(f"u{k}"))
+        if c in sums:
+            as_ = "decimal(38,0)" if isinstance(kind, T.IntegralType) else None if isinstance(kind, T.DecimalType) else "decimal(38,10)" if exact else "double"
+            aggregates.append(F.sum(x.cast(as_) if as_ else x).alias(f"s{k}"))
+    return ds.df.where(_reach(time, wanted)).groupBy(*keys).agg(*aggregates), columns
+
+
+def _grouped(ds: Dataset, time: str, wanted: list[tuple[Measure, Slice]], values: dict[str, list[str]], exact: bool) -> dict[tuple[Measure, Slice], tuple[float | None, int, int]]:
+    df, columns = grouped_frame(ds, time, wanted, values, exact=exact)
+    rows = df.collect()
+    day = np.array([r["day"].toordinal() for r in rows], np.int64)
+    which = {c: np.array([-1 if r[f"d{k}"] is None else r[f"d{k}"] for r in rows], np.int64) for k, c in enumerate(values)}
+    at = {c: k for k, c in enumerate(columns)}
+    n = np.array([r["n"] for r in rows], np.int64)
+    used = {c: np.array([r[f"u{k}"] for r in rows], np.int64) for c, k in at.items()}
+    out = {}
+    for measure, s in wanted:
+        inside = (day >= s.period.start.toordinal()) & (day < s.period.end.toordinal())
+        if s.column is not None:
+            inside &= which[s.column] == values[s.column].index(s.value)
+        on = np.flatnonzero(inside)
+        count, some = int(n[on].sum()), int((n if measure.column is None else used[measure.column])[on].sum())
+        if measure.agg == "count":
+            out[measure, s] = (float(some), count, some)
+            continue
+        parts = [x for i in on if (x := rows[i][f"s{at[measure.column]}"]) is not None]
+        if not parts:
+            out[measure, s] = (None, count, some)
+            continue
+        total = float(sum(parts, Decimal(0))) if isinstance(parts[0], Decimal) else math.fsum(parts)
+        out[measure, s] = (_rounded(total if measure.agg == "sum" else total / some, measure.round), count, some)
+    return out
+
+
+def _rounded(x: float, digits: int | None) -> float:
+    """As measures.rounded."""
+    if digits is None or not math.isfinite(x):
+        return x
+    scale = float(10**digits)
+    return float(Decimal(repr(x * scale)).quantize(Decimal(1), ROUND_HALF_UP)) / scale
+
+
+def batch_frame(ds: Dataset, time: str, wanted: list[tuple[Measure, Slice]], *, exact: bool = False):
+    """One row: value, rows and used rows (v0, n0, u0, v1, ...) of each pair, from one scan."""
+    aggregates = []
+    for k, (measure, rows) in enumerate(wanted):
+        inside = M.in_slice(time, rows)
+        aggregates += [M.value(measure, ds.columns, inside, exact).cast("double").alias(f"v{k}"), M.rows(inside).alias(f"n{k}"), M.used(measure, inside).alias(f"u{k}")]
+    return ds.df.where(_reach(time, wanted)).agg(*aggregates)
 
 
 def ranking(ds: Dataset, time: str, plan: RankPlan, *, exact: bool = False) -> list[tuple[str, float | None, int, int | None]]:
