@@ -41,7 +41,7 @@ NOISE = re.compile(
     r"comment|comments|commentlist|reply|replies|respond|disqus|discussion|responses|form|search|skip|hidden)(?:$|[\s_-])",
     re.I,
 )
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'](?=[^\"']*>))*)>|<[!?/][^>]*>", re.S)
+TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"']|[\"'](?=[^<\"']*>))*)>|<[!?/][^<>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.S)
 SPACE = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?…、。，？！]")

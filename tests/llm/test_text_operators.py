@@ -313,6 +313,15 @@ def test_pages(page, want):
     assert main_text(page) == want
 
 
+def test_broken_pages_take_linear_time():
+    import time
+
+    t = time.perf_counter()
+    for x in ("<a ", "<a href='", '<a href="', "<!--", "<", "<p", "</", "<a b='\"", "<div>", "&amp", "<script>"):
+        main_text("text " + x * 20_000)
+    assert time.perf_counter() - t < 20
+
+
 def test_extraction(spark):
     from claimcheck.llm.html import extracted
 
