@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 # Template lines by licence (fixed values: the licences' own words).
 TEMPLATES: dict[str, list[str]] = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Apache License Version 2.0, January 2004", "SPDX-License-Identifier: Apache-2.0"],
-    "MIT": ["Released under the MIT License.", "This project is licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The MIT License (MIT)", "SPDX-License-Identifier: MIT"],
+    "MIT": ["Released under the MIT License.", "This project is licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "GNU General Public License Version 3, 29 June 2007", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "SPDX-License-Identifier: GPL-3.0"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0"],
 }
-COSINE = 0.75
+COSINE = 0.8
 #: Frequent words, only used to find candidate lines where nothing rarer serves.
 COMMON = frozenset("a and any are as at by from in is it may mit not of on or that the this to under use with you 1 2 3 4".split())
 #: Words of ASCII letters and digits, with dots inside numbers kept.
@@ -92,10 +92,6 @@ def licence_lines(files: DataFrame, *, key_col: str, text_col: str, templates: d
 
     lines = files.where(some(text_col)).select(F.col(key_col).alias("key"), F.posexplode(F.split(text_col, "\r\n|\n|\r")).alias("line", "said"))
     lines = lines.where(some("said")).withColumn("terms", F.regexp_extract_all(F.lower("said"), F.lit(f"({WORD})"), 1)).where(F.arrays_overlap("terms", needed))
-    # a cosine is at most the length of the template's part on the line's terms
-    held = F.array_distinct(F.array_intersect("terms", F.array(*(F.lit(t) for t in sorted(w.idf)))))
-    lines = lines.withColumn("held", held)
-    lines = lines.where(reduce(lambda x, y: x | y, [sum((F.array_contains("held", t).cast("int") * F.lit(x * x) for t, x in sorted(v.items())), F.lit(1e-6)) >= cosine**2 for _, v in w.vectors]))
     lines = lines.select(F.col("key"), "line", F.explode("terms").alias("term")).groupBy("key", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
     # both tables hold the templates' terms and nothing of the files
     idf = F.broadcast(_table(spark, "term, idf", sorted(w.idf.items())))
