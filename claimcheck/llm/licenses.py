@@ -4,7 +4,8 @@ Whole texts are cut into lines. A line's TF-IDF vector is compared by cosine wit
 line; terms are weighted by the templates and terms outside all templates get the largest
 weight. A line can reach the threshold for a template only if it holds one of a few
 terms (without which the rest of the template cannot add up to the threshold), so other lines
-are dropped before any vector is made. A file is a licence file if its name says so or if most of
+are dropped before any vector is made. A line is scored by expressions over the array of its
+terms, where it stands: terms are neither exploded nor shuffled. A file is a licence file if its name says so or if most of
 its words are in licence lines. Files without a licence of their own take that of the nearest
 ancestor directory with a licence file, by joins on directory paths.
 """
@@ -19,17 +20,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 # Template lines by licence (fixed values: the licences' own words).
 TEMPLATES: dict[str, list[str]] = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Apache License Version 2.0, January 2004", "SPDX-License-Identifier: Apache-2.0"],
-    "MIT": ["Released under the MIT License.", "This project is licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
+    "MIT": ["Released under the MIT License.", "This project is licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The MIT License (MIT)", "SPDX-License-Identifier: MIT"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "GNU General Public License Version 3, 29 June 2007", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "SPDX-License-Identifier: GPL-3.0"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0"],
 }
-COSINE = 0.8
+COSINE = 0.75
 #: Frequent words, only used to find candidate lines where nothing rarer serves.
 COMMON = frozenset("a and any are as at by from in is it may mit not of on or that the this to under use with you 1 2 3 4".split())
 #: Words of ASCII letters and digits, with dots inside numbers kept.
@@ -64,16 +67,15 @@ class Weights:
             for (_, v), lack in zip(self.vectors, lacks):
                 for t, x in v.items():
                     if lack > 0 and t not in self.needed:
-                        gain[t] += min(lack, x * x) * (1e-3 if t in COMMON else 1)
-            term = min(gain, key=lambda t: (-gain[t], t))
+                        gain[t] += min(lack, x * x)
+            term = min(gain, key=lambda t: (t in COMMON, -gain[t], -len(t), t))
             self.needed.add(term)
             lacks = [lack - v.get(term, 0.0) ** 2 for (_, v), lack in zip(self.vectors, lacks)]
 
 
-def _table(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
-    """A small table of the templates' own terms, built in the JVM."""
-    quoted = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x!r}D" if isinstance(x, float) else str(x)
-    return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)} AS t({names})")
+def _with(value: Column, f) -> Column:
+    """f(value), where ``value`` is computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def licence_lines(files: DataFrame, *, key_col: str, text_col: str, templates: dict[str, list[str]] = TEMPLATES, cosine: float = COSINE) -> DataFrame:
@@ -83,26 +85,41 @@ def licence_lines(files: DataFrame, *, key_col: str, text_col: str, templates: d
     that repeats is reported wherever it stands.
     """
     w = Weights(templates, cosine)
-    spark = files.sparkSession
-    needed = F.array(*(F.lit(x) for x in sorted(w.needed)))
+    terms_ = sorted(w.idf)
+    idf = F.map_from_arrays(F.array(*(F.lit(t) for t in terms_)), F.array(*(F.lit(w.idf[t]) for t in terms_)))
+    vectors = F.map_from_arrays(F.array(*(F.lit(t) for t in terms_)), F.array(*(F.array(*(F.lit(v.get(t, 0.0)) for _, v in w.vectors)) for t in terms_)))
+    vocabulary = F.array(*(F.lit(t) for t in terms_))
+    places = F.sequence(F.lit(0), F.lit(len(w.vectors) - 1))
+    names = F.array(*(F.lit(name) for name, _ in w.vectors))
 
     def some(c: str) -> Column:
-        low = F.lower(c)
-        return reduce(lambda x, y: x | y, [F.contains(low, F.lit(t)) for t in sorted(w.needed)])
-
-    lines = files.where(some(text_col)).select(F.col(key_col).alias("key"), F.posexplode(F.split(text_col, "\r\n|\n|\r")).alias("line", "said"))
-    lines = lines.where(some("said")).withColumn("terms", F.regexp_extract_all(F.lower("said"), F.lit(f"({WORD})"), 1)).where(F.arrays_overlap("terms", needed))
-    lines = lines.select(F.col("key"), "line", F.explode("terms").alias("term")).groupBy("key", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
-    # both tables hold the templates' terms and nothing of the files
-    idf = F.broadcast(_table(spark, "term, idf", sorted(w.idf.items())))
-    vectors = F.broadcast(_table(spark, "term, template, x", sorted((t, k, x) for k, (_, v) in enumerate(w.vectors) for t, x in v.items())))
-    names = F.broadcast(_table(spark, "template, licence", [(k, name) for k, (name, _) in enumerate(w.vectors)]))
-    weighed = lines.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(w.outside)))
-    norms = weighed.groupBy("key", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("words"))
-    dots = weighed.join(vectors, "term").groupBy("key", "line", "template").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
-    near = dots.withColumnsRenamed({"key": "k", "line": "l"}).join(norms, F.col("k").eqNullSafe(F.col("key")) & (F.col("l") == F.col("line"))).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= cosine).join(names, "template")
-    best = near.groupBy("key", "line").agg(F.max("words").alias("words"), F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("best"))
-    return best.select("key", "line", "words", F.col("best.licence").alias("licence"), (-F.col("best.c")).alias("cosine"))
+        return F.exists(F.array(F.lower(c)), lambda low: reduce(lambda x, y: x | y, [F.contains(low, F.lit(t)) for t in sorted(w.needed)]))
+
+    def enough(terms: Column) -> Column:
+        """Whether some template's part on the line's terms, which bounds its cosine, is long enough."""
+        held = F.transform(F.array_intersect(vocabulary, terms), lambda t: F.element_at(vectors, t))
+        return _with(held, lambda h: F.exists(places, lambda k: F.aggregate(h, F.lit(1e-9), lambda acc, x: acc + F.get(x, k) * F.get(x, k)) >= cosine**2))
+
+    def weighed(terms: Column) -> Column:
+        """term, weight of each distinct term."""
+
+        def runs(s: Column) -> Column:
+            first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+            return _with(first, lambda a: F.zip_with(a, F.concat(F.slice(a, F.lit(2), F.size(a)), F.array(F.size(s))), lambda i, j: F.struct(F.get(s, i).alias("term"), ((j - i) * F.coalesce(F.element_at(idf, F.get(s, i)), F.lit(w.outside))).alias("w"))))
+
+        return _with(F.sort_array(terms), runs)
+
+    def best(line: Column) -> Column:
+        norm = F.sqrt(F.aggregate(line, F.lit(0.0), lambda acc, r: acc + r["w"] * r["w"]))
+        held = F.transform(F.filter(line, lambda r: F.map_contains_key(idf, r["term"])), lambda r: F.struct(r["w"].alias("w"), F.element_at(vectors, r["term"]).alias("x")))
+        each = lambda n, h: F.transform(places, lambda k: F.struct((-F.round(F.aggregate(h, F.lit(0.0), lambda acc, r: acc + r["w"] * F.get(r["x"], k)) / n, 9)).alias("c"), F.get(names, k).alias("licence")))
+        return _with(norm, lambda n: _with(held, lambda h: F.array_min(each(n, h))))
+
+    terms = F.regexp_extract_all(F.lower("said"), F.lit(f"({WORD})"), 1)
+    scored = F.transform(F.filter(F.array(terms), enough), lambda t: F.struct(F.size(t).cast("long").alias("words"), _with(weighed(t), best).alias("best")))
+    lines = files.where(some(text_col)).select(F.col(key_col).alias("key"), F.posexplode(F.split(text_col, "\r\n|\n|\r")).alias("line", "said")).where(some("said"))
+    near = lines.select("key", "line", F.explode(F.filter(scored, lambda s: s["best"]["c"] <= -cosine)).alias("s")).groupBy("key", "line").agg(F.max("s.words").alias("words"), F.min("s.best").alias("best"))
+    return near.select("key", "line", "words", F.col("best.licence").alias("licence"), (-F.col("best.c")).alias("cosine"))
 
 
 def licensed(files: DataFrame, *, key_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES, cosine: float = COSINE, file_share: float = 0.5) -> DataFrame:
@@ -121,6 +138,8 @@ def licensed(files: DataFrame, *, key_col: str = "doc_id", path_col: str = "path
     n_words = F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD))
     rows = base.select("key", "path", F.when(F.col("path").isNotNull(), directory).alias("dir"), F.coalesce(name.rlike(LICENCE_NAME), F.lit(False)).alias("named"), n_words.alias("n_words")).join(own, "key", "left")
     rows = rows.withColumn("licence_file", F.col("own").isNotNull() & (F.col("named") | (F.col("licence_words") >= file_share * F.col("n_words"))))
+    # written once, without the texts: directories and findings are read three times below
+    rows = written(rows, "licences")
     at = rows.where(F.col("licence_file") & F.col("dir").isNotNull()).groupBy("dir").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("own")))).alias("given"))
     # distinct directories meet those with licence files by each of their ancestors
     dirs = rows.where("own is null and dir is not null").select("dir").distinct()

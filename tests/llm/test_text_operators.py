@@ -157,6 +157,25 @@ def test_every_template_matches_itself(spark):
         assert got[i]["licence"] == x.split("\x00")[0] and got[i]["cosine"] > 0.999
 
 
+def test_licence_titles_match_as_before_the_cut(spark):
+    texts = ["The MIT License (MIT)", "MIT License", "Licensed under the Apache License, Version 2.0 here", "Permission is hereby granted, free of charge, to any person", "a line of no licence"]
+    idf = licenses.Weights(licenses.TEMPLATES, 0.75)
+
+    def plain(text):
+        v = {t: n * idf.idf.get(t, idf.outside) for t, n in licenses.template_words(text).items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return max((round(sum(x * u.get(t, 0.0) for t, x in v.items()) / norm, 9), name) for name, u in idf.vectors)
+
+    files = spark.createDataFrame([(1, "a/LICENSE", "The MIT License (MIT)\n\nCopyright"), (2, "a/b/c.py", "print")], "doc_id int, path string, text string")
+    got = {r["doc_id"]: r["licences"] for r in licenses.licensed(files).collect()}
+    assert got == {1: ["MIT"], 2: ["MIT"]}
+    lines = spark.createDataFrame(list(enumerate(texts)), "key int, text string")
+    found = {r["key"]: (r["cosine"], r["licence"]) for r in licenses.licence_lines(lines, key_col="key", text_col="text").collect()}
+    want = {i: plain(t) for i, t in enumerate(texts)}
+    assert found == {i: x for i, x in want.items() if x[0] >= 0.75} and {0, 1} <= set(found)
+    assert any(0.75 <= x[0] < 0.8 for x in want.values())
+
+
 # --- op5 -----------------------------------------------------------------------------------
 
 
