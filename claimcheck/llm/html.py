@@ -3,9 +3,10 @@
 A page is read once into text nodes with their root-to-leaf tag paths, grouped into blocks. Per
 path, text length and punctuation are totalled over its nodes; the two ratios are smoothed over
 neighbouring nodes in page order, fused by product, and thresholded by their deviation. The paths that pass
-vote, by their text, for the container that holds the content; where the page names its content
-(article, main) the container is looked for there. All blocks of the container are kept, short
-ones as well, but for those under boilerplate elements (menus, forms, notices, comments, ...).
+vote, by their text, for the container that holds nearly all of the content; to it come the
+containers of all other paths that pass, and what encloses these below the body. Where the page
+names its content (article, main) only that is looked at, and each content element that holds a
+path that passes is kept whole. All blocks of the containers are kept, short ones as well, but for those under boilerplate elements (menus, forms, notices, comments, ...).
 """
 
 from __future__ import annotations
@@ -157,10 +158,30 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 
 
-def content_paths(found: list[tuple[tuple, str, int]]) -> tuple | None:
-    """The container of the content: a path whose blocks are to be kept; None if there is none."""
+#: Elements that hold a piece of the content but are no containers of it.
+LEAVES = HEADINGS | INLINE | {"p", "li", "ul", "ol", "td", "th", "tr", "tbody", "table", "dl", "dt", "dd", "blockquote", "pre", "header", "figure", "figcaption"}
+ROOTS = frozenset({"html", "body"})
+
+
+def _container(path: tuple) -> tuple:
+    """The path without the elements at its end that are no containers; the outermost content element if there is one."""
+    outer = next((k for k, (_, n) in enumerate(path) if n in CONTENT), None)
+    if outer is not None:
+        return path[: outer + 1]
+    end = len(path)
+    while end and path[end - 1][1] in LEAVES:
+        end -= 1
+    return path[:end]
+
+
+def content_paths(found: list[tuple[tuple, str, int]]) -> set[tuple]:
+    """The containers of the content: paths whose blocks are to be kept.
+
+    The document's root, where it only holds some paths that pass directly, stands for their
+    elements instead: they are in the set themselves.
+    """
     if not found:
-        return None
+        return set()
     inside = [b for b in found if b[2]]
     live = inside or found
     # ratios by tag path: text and punctuation of all its nodes over their number
@@ -186,14 +207,18 @@ def content_paths(found: list[tuple[tuple, str, int]]) -> tuple | None:
     whole = votes[()]
     # the deepest container that holds nearly all the text of the paths that passed
     best = max((p for p, v in votes.items() if v >= 0.95 * whole), key=len)
-    tags = {n for _, n in best}
-    while best and best[-1][1] in HEADINGS | {"p", "li", "ul", "ol", "td", "th", "tr", "tbody", "table", "dl", "dt", "dd", "blockquote", "pre", "header", "figure", "figcaption"} | INLINE:
-        best = best[:-1]
-    if inside and not tags & CONTENT:
-        return best
-    # never narrower than the content element itself
-    outer = next((k for k, (_, n) in enumerate(best) if n in CONTENT), None)
-    return best if outer is None else best[: outer + 1]
+    keep = {_container(best)}
+    passed = [(b[0], _container(b[0])) for b, score in zip(live, fused) if score >= threshold]
+    for path, container in passed:
+        root = not container or container[-1][1] in ROOTS
+        keep.add(path[: len(container) + 1] if root else container)
+    # what encloses all of them, if that is less than the page
+    shared = min((c for _, c in passed), key=len)
+    for _, c in passed:
+        shared = shared[: next((k for k, (x, y) in enumerate(zip(shared, c)) if x != y), len(shared))]
+    if shared and shared[-1][1] not in ROOTS:
+        keep.add(shared)
+    return keep
 
 
 def main_text(page: str | None) -> str:
@@ -201,11 +226,10 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    root = content_paths(found)
-    if root is None:
-        return ""
+    # an element's number names its path
+    keep = {c[-1][0] if c else 0 for c in content_paths(found)}
     named = any(content for _, _, content in found)
-    return "\n".join(text for path, text, content in found if path[: len(root)] == root and (content or not named))
+    return "\n".join(text for path, text, content in found if (content or not named) and (0 in keep or any(n in keep for n, _ in path)))
 
 
 def extracted(pages: DataFrame, *, html_col: str = "html", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -332,6 +332,15 @@ def test_pages(page, want):
     assert main_text(page) == want
 
 
+def test_all_containers_with_passing_paths_are_kept():
+    story = "".join(f"<p>Sentence {i} of the story, which goes on, and on, for a while.</p>" for i in range(200))
+    lead = "<p>The lead, in one paragraph, says what happened, to whom, and when.</p>"
+    got = main_text(f"<body><div class=content><div class=lead>{lead}</div><div class=story>{story}</div><div class=facts><ul><li>one<li>two</ul></div></div>")
+    assert got.startswith("The lead,") and got.endswith("one\ntwo") and got.count("Sentence") == 200
+    two = main_text(f"<body><article>{story}</article><article>{lead}</article><div><p>Outside, of both.</p></div>")
+    assert two.endswith("and when.") and two.count("Sentence") == 200
+
+
 def test_broken_pages_take_linear_time():
     import time
 
