@@ -36,18 +36,28 @@ CLOSES_P = BLOCK - {"br", "html", "body", "caption", "td", "th", "tr", "tbody",
 SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPE = frozenset("article main section div table td th ul ol dl aside nav footer header form blockquote button body html".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|advertisement|advertising|adbox|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"nav|navbar|navigation|menu|breadcrumb|breadcrumbs|pagination|pager|toolbar|sidebar|side|aside|widget|related|recommended|share|sharing|social|follow|footer|footnav|masthead|topbar|header|"
-    r"comment|comments|commentlist|reply|replies|respond|disqus|discussion|responses|form|search|skip|hidden)(?:$|[\s_-])",
-    re.I,
+NOISE_WORDS = frozenset(
+    ("ad ads adv advert advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter "
+    "subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar sidebar side aside widget related recommended share sharing social follow footer footnav "
+    "masthead topbar header comment comments commentlist reply replies respond disqus discussion responses form search skip hidden").split()
 )
+NOISE = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(sorted(NOISE_WORDS))})(?:$|[\s_-])", re.I)
+#: Words that say nothing of what an element holds: beside these and other words of the list a word of the list still counts inside content.
+SHAPES = frozenset("area bar block box btn button buttons container content group inner item items link links list panel post posts section slot thread top bottom wrap wrapper".split())
+#: Ids that headings, paragraphs and sections have as the slug of their own title are not tested but for these.
+PLAIN_IDS = frozenset("comments disqus_thread respond".split())
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"']|[\"'](?=[^<\"']*>))*)>|<[!?/][^<>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.S)
 SPACE = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?…、。，？！]")
 
 
+def _noise_token(token: str) -> bool:
+    """Whether a whole class or id inside content is of the word list; a header there belongs to the content."""
+    parts = [x for x in re.split(r"[_-]+", token.lower()) if x]
+    return any(x in NOISE_WORDS and x != "header" for x in parts) and all(x in NOISE_WORDS or x in SHAPES for x in parts)
+
+
 def _noisy(name: str, attributes: str, in_content: bool) -> bool:
     if name in DROPPED:
         return True
@@ -59,7 +69,10 @@ def _noisy(name: str, attributes: str, in_content: bool) -> bool:
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value.lower() in ROLES):
             return True
-        if key in ("class", "id") and NOISE.search(value):
+        if key == "id" and (name in HEADINGS or name in ("p", "section")):
+            if value.lower() in PLAIN_IDS:
+                return True
+        elif key in ("class", "id") and (any(map(_noise_token, value.split())) if in_content else NOISE.search(value)):
             return True
         if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True

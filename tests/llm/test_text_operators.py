@@ -341,6 +341,17 @@ def test_all_containers_with_passing_paths_are_kept():
     assert two.endswith("and when.") and two.count("Sentence") == 200
 
 
+def test_noise_words_in_content():
+    kept = ['<h2 id="related-work">', '<h2 id="search-results">', '<h2 id="form-and-function">', '<section id="discussion">', '<div class="article-header">', '<div class="search-theory">', '<p id="share-of-votes">']
+    for tag in kept:
+        name = tag[1:].split()[0]
+        assert main_text(f"<article><h1>T</h1>{tag}Kept words.</{name}><p>More.</p></article>") == "T\nKept words.\nMore.", tag
+    for tag in ('<div class="comments">', '<div class="comment-list">', '<div class="related-posts x">', '<div id="newsletter-signup">', '<section id="comments">', '<div role="search">', '<section class="ad">'):
+        name = tag[1:].split()[0]
+        assert main_text(f"<article><h1>T</h1>{tag}Dropped words.</{name}><p>More.</p></article>") == "T\nMore.", tag
+    assert main_text('<div><h2 id="related-work">Related work</h2><p>Long, and longer.</p></div><div class="page-footer">f</div>') == "Related work\nLong, and longer."
+
+
 def test_broken_pages_take_linear_time():
     import time
 
