@@ -8,7 +8,7 @@ of other characters is one boundary symbol, and n-grams of 1 to 3 symbols are co
 whole text.
 
 The classifiers are fitted on the driver from a bounded sample of labelled rows
-(``sample_rows``), chosen by a hash of the id; counting n-grams of the sample and predicting run
+(``sample_rows``), a quota of each label, chosen by a hash of the id; counting n-grams of the sample and predicting run
 on the executors, over whole texts.
 """
 
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,8 @@ TRIPLES = 1 << 13
 SIZE = SYMBOLS + SYMBOLS**2 + TRIPLES
 UNKNOWN = "und"
 SAMPLE_ROWS = 2000
+#: Rows of each label at least, however many labels there are.
+LABEL_ROWS = 20
 STEP = 2 << 20
 
 
@@ -140,12 +142,21 @@ def fit(x: np.ndarray, y: list[str], *, steps_: int = 150, decay: float = 1e-5)
 
 
 def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``sample_rows`` rows with a label and a text, those with the smallest hashes of the id."""
+    """Fit on a documented quota of rows with a label and a text: of each label those with the smallest hashes of the id.
+
+    Every label gets ``sample_rows`` over the number of labels, ``LABEL_ROWS`` at least, so every
+    label present is learned; labels with fewer rows give all of theirs.
+    """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"), F.col(id_col).cast("string").alias("k"))
-    chosen = rows.select("lang", "h", "k").orderBy("h", "k", "lang").limit(sample_rows).agg(F.max(F.struct("h", "k"))).first()[0]
-    if chosen is None:
+    labels = rows.agg(F.count_distinct("lang")).first()[0]
+    if not labels:
         return fit(np.zeros((0, SIZE), np.float32), [])
-    limit = (F.col("h") < chosen["h"]) | ((F.col("h") == chosen["h"]) & (F.coalesce("k", F.lit("")) <= (chosen["k"] or "")))
+    quota = max(LABEL_ROWS, sample_rows // labels)
+    # ranked by label without the texts; Spark keeps at most a quota of each label in a task before the shuffle
+    order = Window.partitionBy("lang").orderBy("h", F.coalesce("k", F.lit("")))
+    last = rows.select("lang", "h", "k").withColumn("r", F.row_number().over(order)).where(F.col("r") <= quota).groupBy("lang").agg(F.max(F.struct("h", F.coalesce("k", F.lit("")).alias("k"))).alias("last"))
+    at = F.struct(F.col("h"), F.coalesce("k", F.lit("")).alias("k"))
+    chosen = rows.join(F.broadcast(last), "lang").where(at <= F.col("last"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text", STEP):
@@ -153,7 +164,7 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             raw = [np.concatenate([np.flatnonzero(r).astype(np.float32), r[np.flatnonzero(r)]]).tobytes() for r in x[has]]
             yield pa.RecordBatch.from_arrays([b.column("lang").filter(pa.array(has)), pa.array(raw, pa.binary())], ["lang", "x"])
 
-    got = rows.where(limit).select("lang", "text").mapInArrow(features, "lang string, x binary").limit(2 * sample_rows).toArrow()
+    got = chosen.select("lang", "text").mapInArrow(features, "lang string, x binary").limit(2 * quota * labels).toArrow()
     x = np.zeros((got.num_rows, SIZE), np.float32)
     for i, raw in enumerate(got["x"].to_pylist()):
         v = np.frombuffer(raw, np.float32)

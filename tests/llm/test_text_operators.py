@@ -247,6 +247,15 @@ def test_language_id(spark):
     assert {r["language"]["lang"] for r in langid.predicted(docs(spark, test[:1]), one).collect()} == {"en"}
 
 
+def test_rare_languages_are_learned(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(WORDS["en" if i % 400 else "de"].split(), 12)), "en" if i % 400 else "de") for i in range(1200)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=40)
+    assert model.languages == ["de", "en"]
+    got = langid.predicted(docs(spark, [(1, "der und nicht mit wasser"), (2, "the house and the water")]), model).select("doc_id", "language.lang").collect()
+    assert dict(map(tuple, got)) == {1: "de", 2: "en"}
+
+
 def test_codewords_are_far_apart():
     for n in (2, 3, 4, 7, 12):
         c = langid.codewords(n)
