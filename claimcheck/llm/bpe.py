@@ -2,13 +2,22 @@
 
 A text is cut only where a BPE pre-tokenizer of the supported kinds cuts anyway: before a run
 of ASCII white space that follows something else, and between a letter and ASCII punctuation.
-Distinct pieces of a batch are encoded once and cached; a text's ids are its pieces' ids.
-Texts with other white space (where a run may go on across a cut) are encoded whole.
+Distinct pieces of a step are encoded once and cached; a text's ids are its pieces' ids.
+Pieces that are one blank and letters are encoded many at a time, as a text; the lengths of the
+ids (byte-level vocabularies) or their word-end marks say where each piece's ids end, and where
+these don't add up the pieces are encoded one by one. Texts with other white space (where a run may go on across a cut) and texts that hold one of
+the vocabulary's added tokens (which a tokenizer finds before it cuts) are encoded whole.
+
+The cache has two generations of bounded bytes. Pieces that are met again move to the younger
+one; when that is full it becomes the older one, whose pieces go. So frequent pieces stay, and a
+worker's memory does not grow with what it has read.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +25,19 @@ import pyarrow.compute as pc
 
 from .common import from_parts, parts
 
-#: Pieces that one Python worker keeps; then it starts anew. A bound on memory, not on results.
-CACHE = 400_000
+#: Bytes of one generation of a worker's cache, a bound on memory and not on results.
+CACHE_BYTES = 32 << 20
+#: What a piece costs beside its text and its ids: two objects and a place in the dictionary.
+PIECE_BYTES = 190
+#: Text bytes encoded at once, and pieces that are joined to one text.
+STEP = 2 << 20
+JOINED = 500
+PLAIN = r"^ \p{L}+$"
 #: White space (or what an engine may take for it) beyond ASCII blanks.
 OTHER_SPACE = "[\x1c-\x1f\x85\u00a0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
 
+_SPACE = "[\x1c-\x1f\x85\u00a0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LETTER = np.zeros(256, bool)
@@ -57,16 +74,86 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.end = end
-        self.cache: dict[str, bytes] = {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = "|".join(re.escape(t) for t in added) or None
+        self.kind = "H" if max(self.size, end + 1) <= 1 << 16 else "I"
+        self._marks()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def _marks(self) -> None:
+        """By id: its bytes, or whether it ends a word; None where ids say neither."""
+        model, self.bytes, self.closes = self.tokenizer.model, None, None
+        names = sorted(self.tokenizer.get_vocab(with_added_tokens=False).items(), key=lambda x: x[1])
+        suffix = getattr(model, "end_of_word_suffix", None)
+        marks = np.zeros(self.size, np.int32)
+        if suffix:
+            marks[[k for _, k in names]] = [name.endswith(suffix) for name, _ in names]
+            self.closes = marks > 0
+        elif type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None:
+            marks[[k for _, k in names]] = [len(name) for name, _ in names]
+            self.bytes = marks
+
+    def _plain(self, pieces: list[str]) -> list[bytes]:
+        """ids of pieces that are one blank and letters."""
+        if self.bytes is None and self.closes is None:
+            return self._whole(pieces)
+        out: list[bytes] = []
+        lots = [pieces[a : a + JOINED] for a in range(0, len(pieces), JOINED)]
+        unit = array(self.kind).itemsize
+        for lot, raw in zip(lots, self._whole(["".join(x) for x in lots])):
+            ids = np.frombuffer(raw, f"<u{unit}")
+            if self.closes is not None:
+                cut = np.flatnonzero(self.closes[ids]) + 1
+                good = len(cut) == len(lot) and cut[-1] == len(ids)
+            else:
+                want = np.cumsum([len(x.encode()) for x in lot])
+                ends = np.cumsum(self.bytes[ids])
+                cut = np.searchsorted(ends, want) + 1
+                good = cut[-1] == len(ids) and bool((ends[cut - 1] == want).all())
+            if good:
+                cut = [0, *(cut * unit).tolist()]
+                out += [raw[a:b] for a, b in zip(cut, cut[1:])]
+            else:
+                out += self._whole(lot)
+        return out
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        kind = self.kind
+        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, names: list[str], ids: list[bytes]) -> None:
+        self.young.update(zip(names, ids))
+        self.held += sum(map(len, names)) + sum(map(len, ids)) + PIECE_BYTES * len(names)
+        if self.held > CACHE_BYTES:
+            self.old, self.young, self.held = self.young, {}, 0
+
+    def _ids(self, pieces: list[str], odd: list[int], plain: list[bool]) -> list[bytes]:
+        """ids of each piece; those at ``odd`` are of no use and stay empty."""
+        out = list(map(self.young.get, pieces))
+        for k in odd:
+            out[k] = b""
+        missing = [k for k, x in enumerate(out) if x is None]
+        again = [k for k in missing if pieces[k] in self.old]
+        for k in again:
+            out[k] = self.old[pieces[k]]
+        missing = [k for k in missing if out[k] is None]
+        for found, encode in (([k for k in missing if plain[k]], self._plain), ([k for k in missing if not plain[k]], self._whole)):
+            for a in range(0, len(found), 10_000):
+                some = found[a : a + 10_000]
+                for k, x in zip(some, encode([pieces[k] for k in some])):
+                    out[k] = x
+        again += missing
+        for a in range(0, len(again), 10_000):
+            some = again[a : a + 10_000]
+            self._keep([pieces[k] for k in some], [out[k] for k in some])
+        return out
 
     def __call__(self, column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets by row, ids as little-endian u32, the end id included)."""
+        """(offsets by row, ids as unsigned integers of 2 or 4 bytes, the end id included)."""
         offsets, data = parts(column)
         n = len(offsets) - 1
         first = np.zeros(len(data) + 1, bool)
@@ -75,44 +162,36 @@ class Encoder:
             letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
             first[1:-1] = (space[1:] & ~space[:-1]) | (letter[:-1] & _PUNCT[data[1:]])
         first[offsets] = True
-        bounds = np.flatnonzero(first)
-        if len(data) == 0:
-            bounds = np.zeros(1, np.int64)
+        bounds = np.flatnonzero(first).astype(np.int32) if len(data) else np.zeros(1, np.int32)
         pieces = from_parts(bounds, data).dictionary_encode()
-        codes, distinct = np.asarray(pieces.indices, np.int64), pieces.dictionary
+        codes, distinct = np.asarray(pieces.indices, np.int32), pieces.dictionary
         at = np.searchsorted(bounds, offsets)
-        rows = np.repeat(np.arange(n), np.diff(at))
         odd = np.asarray(pc.match_substring_regex(distinct, OTHER_SPACE), bool)
-        whole = np.unique(rows[odd[codes]]) if odd.any() else np.zeros(0, np.int64)
-        found = distinct.to_pylist()
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        missing = [x for x, o in zip(found, odd.tolist()) if not o and x not in cache]
-        for a in range(0, len(missing), 20_000):
-            some = missing[a : a + 20_000]
-            cache.update(zip(some, self._whole(some)))
-        ids = [cache.get(x, b"") for x in found]
-        size = np.fromiter((len(x) >> 2 for x in ids), np.int64, len(ids))
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-        lengths = np.bincount(rows, weights=size[codes], minlength=n).astype(np.int64)
-        # ids of all pieces in order
-        piece = size[codes]
-        total = int(piece.sum())
-        start = np.cumsum(piece) - piece
-        source = np.repeat(begin[codes] - start, piece) + np.arange(total)
-        body = flat[source]
-        special: dict[int, np.ndarray] = {}
-        if len(whole):
-            texts = column.take(pa.array(whole)).to_pylist()
-            special = {int(r): np.frombuffer(x, "<u4") for r, x in zip(whole, self._whole(texts))}
-        old = np.concatenate([[0], np.cumsum(lengths)])
-        if special:
-            body = np.concatenate([special[r] if r in special else body[old[r] : old[r + 1]] for r in range(n)]) if n else body
-            for r, x in special.items():
-                lengths[r] = len(x)
-            old = np.concatenate([[0], np.cumsum(lengths)])
-        out = np.full(len(body) + n, self.end, "<u4")
-        out[np.arange(len(body)) + np.repeat(np.arange(n), lengths)] = body
-        return old + np.arange(n + 1), out
+        whole = np.zeros(n, bool)
+        if odd.any():
+            whole[np.searchsorted(at, np.flatnonzero(odd[codes]), "right") - 1] = True
+        if self.added and n:
+            whole |= np.asarray(pc.match_substring_regex(column, self.added), bool)
+        plain = pc.match_substring_regex(distinct, PLAIN).to_pylist()
+        ids = self._ids(distinct.to_pylist(), np.flatnonzero(odd).tolist(), plain)
+        # the end and whole texts are pieces too
+        ends = np.full(n, len(ids), np.int32)
+        ids.append(array(self.kind, [self.end]).tobytes())
+        if whole.any():
+            rows = np.flatnonzero(whole)
+            own = np.arange(len(ids), len(ids) + len(rows), dtype=np.int32)
+            ids += self._whole(column.take(pa.array(rows)).to_pylist())
+            kept = np.ones(len(codes), bool)
+            for r in rows:
+                kept[at[r] : at[r + 1]] = False
+            at = np.concatenate([[0], np.cumsum(kept)])[at]
+            codes = np.insert(codes[kept], at[rows], own)
+            at = at + np.concatenate([[0], np.cumsum(whole)])
+        codes = np.insert(codes, at[1:], ends)
+        at = at + np.arange(n + 1)
+        unit = array(self.kind).itemsize
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // unit
+        flat = np.frombuffer(b"".join(ids), f"<u{unit}")
+        table = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat))
+        out = table.take(pa.array(codes))
+        return np.asarray(out.offsets, np.int64)[at], np.asarray(out.values)

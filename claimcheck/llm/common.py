@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; bounds the memory of a Python worker.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 #: A-Z to a-z, every other byte unchanged.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -44,6 +45,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch between the JVM and a Python worker, where the session names none of its own.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Long texts come in small batches: both sides hold one whole. Settings that differ from Spark's own stay."""
+    for key, (default, own) in BATCH.items():
+        if spark.conf.get(key, default) in (default, default.rstrip("b")):
+            spark.conf.set(key, own)
+
+
+def released() -> None:
+    """Give freed memory back to the system: an idle worker holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def lean(f: Callable) -> Callable:
+    """``f`` over batches, after which the worker's freed memory is given back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            released()
+
+    return run
+
+
 def strings(column: pa.Array) -> pa.StringArray:
     """No nulls (they become empty) and plain 32-bit offsets from 0."""
     if isinstance(column, pa.ChunkedArray):

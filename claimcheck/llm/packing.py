@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Encoder
-from .common import steps, strings, written
+from .bpe import STEP, Encoder
+from .common import lean, small_batches, steps, strings, written
 
 CAPACITY = 2048
 GROUPS = 1024
@@ -167,9 +167,9 @@ def pieces(documents: DataFrame, *, tokenizer: str, end_id: int, id_col: str = "
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer, end_id)
-        for b in steps(batches, "text"):
+        for b in steps(batches, "text", STEP):
             offsets, ids = encoder(strings(b.column("text")))
-            view = memoryview(ids.tobytes())
+            view = memoryview(ids.astype("<u4")).cast("B")
             row, piece, start, length, crc = [], [], [], [], []
             for i in range(len(offsets) - 1):
                 n = int(offsets[i + 1] - offsets[i])
@@ -182,7 +182,7 @@ def pieces(documents: DataFrame, *, tokenizer: str, end_id: int, id_col: str = "
                     crc.append(zlib.crc32(view[4 * (offsets[i] + a) : 4 * (offsets[i] + z)]))
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["id", "piece", "start", "length", "ids_crc32"])
 
-    return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(cut), f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def packed(documents: DataFrame, *, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
@@ -193,6 +193,7 @@ def packed(documents: DataFrame, *, tokenizer: str, end_id: int, id_col: str = "
     are not read.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     out = [F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32"]
     made = written(pieces(documents, tokenizer=tokenizer, end_id=end_id, id_col=id_col, text_col=text_col, capacity=capacity), "pieces")
     histogram = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
