@@ -179,36 +179,62 @@ def test_licence_titles_match_as_before_the_cut(spark):
 # --- op5 -----------------------------------------------------------------------------------
 
 
-def test_records_round_trip(spark, tmp_path):
-    from claimcheck.llm.bpe import Encoder
+def plain_tokenizer(name):
+    """The library's own, with no setting changed."""
+    from tokenizers import Tokenizer
+
+    from claimcheck.llm.bpe import tokenizer_path
+
+    return Tokenizer.from_file(tokenizer_path(name))
 
-    rows = [(5, "hello world"), (-3, None), (7, ""), (1, "line\nfeeds\n\n and   spaces"), (1, "a repeated id"), (None, "no id"), (9, "long " * 20_000), (2, "<|endoftext|>")]
+
+def test_records_round_trip(spark, tmp_path):
+    rows = [(5, "hello world"), (-3, None), (7, ""), (1, "line\nfeeds\n\n and   spaces"), (1, "a repeated id"), (None, "no id"), (9, "long " * 20_000), (2, "<|endoftext|>"), (3, "a<|endoftext|>b")]
+    rows += [(100 + k, f"document {k} of many " * (k % 7)) for k in range(300)]
     df = docs(spark, rows)
     path = f"file://{tmp_path}/r"
-    index = records.write_dataset(df, path, tokenizer="byte_bpe_50k.json", end_id=2, file_bytes=2_000).orderBy("start").collect()
-    tk = Encoder.of("byte_bpe_50k.json", 2).tokenizer
+    index = records.write_dataset(df, path, tokenizer="byte_bpe_50k.json", end_id=2, file_bytes=20_000).orderBy("start").collect()
+    tk = plain_tokenizer("byte_bpe_50k.json")
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     ids = [np.array(tk.encode(t or "", add_special_tokens=False).ids + [2], "<u4") for _, t in order]
     start = 0
     for r, (key, _), x in zip(index, order, ids):
         assert (r["id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (key, start, len(x), zlib.crc32(x.tobytes()))
         start += len(x)
-    assert len(index) == len(rows)
-    back = {(r["file"], r["offset"]): r["ids"] for r in records.read_records(spark, f"{path}/records", columns="ids").collect()}
-    assert all(back[r["file"], r["offset"]] == x.tobytes() for r, x in zip(index, ids))
+    assert len(index) == len(rows) and len({r["file"] for r in index}) > 2
+    # many readers in one file find each frame once
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in kept:
+        spark.conf.set(k, "997")
+    try:
+        read = records.read_records(spark, path, columns="ids")
+        assert read.rdd.getNumPartitions() > 20
+        back = {(r["file"], r["offset"]): r["ids"] for r in read.collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(back) == len(rows) and all(back[r["file"], r["offset"]] == x.tobytes() for r, x in zip(index, ids))
+    # the same by lengths alone, from the raw bytes of a file
+    marker = next((tmp_path / "r" / "marker").glob("part-*")).read_text().strip()
+    for file in (tmp_path / "r" / "frames").glob("part-*"):
+        number = int(file.name.split("-")[1])
+        got = {at: records.opened(held)[1] for at, held in records.frames(file.read_bytes(), marker)}
+        assert got == {at: raw for (n, at), raw in back.items() if n == number}
     assert records.write_dataset(df.limit(0), f"{path}0", tokenizer="byte_bpe_50k.json", end_id=2).count() == 0
 
 
 def test_damaged_records_are_found():
-    good = records.frame(b"payload") + b"\n"
-    assert [bytes(p) for _, p in records.frames(good * 2)] == [b"payload"] * 2
+    mark = "0123456789abcdef" * 2
+    one = records.frame(b"payload", 0) + mark.encode()
+    good = one + records.frame(b"payload", len(one)) + mark.encode()
+    assert [bytes(p) for _, p in records.frames(good, mark)] == [b"payload"] * 2
     for k in range(len(good)):
         bad = bytearray(good)
         bad[k] ^= 1
         with pytest.raises(ValueError):
-            list(records.frames(bytes(bad)))
+            list(records.frames(bytes(bad), mark))
     with pytest.raises(ValueError):
-        list(records.frames(good[:-3]))
+        list(records.frames(good[:-3], mark))
 
 
 def test_pieces_encode_as_whole_texts():
@@ -222,10 +248,29 @@ def test_pieces_encode_as_whole_texts():
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         e = Encoder(name, 2)
         offsets, ids = e(pa.array(texts))
-        for i, x in enumerate(e.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        for i, x in enumerate(plain_tokenizer(name).encode_batch(texts, add_special_tokens=False)):
             assert ids[offsets[i] : offsets[i + 1]].tolist() == x.ids + [2]
 
 
+def test_joined_pieces_and_a_small_cache_change_no_id(monkeypatch):
+    import pyarrow as pa
+
+    from claimcheck.llm import bpe
+
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    rng = np.random.default_rng(3)
+    letters = list("abcdefgéßÿ") + ["\u01c4", "\u0130", "e\u0301", "\u0926"]
+    words = ["".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words, 60)) + "." for _ in range(300)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e, plain = bpe.Encoder(name, 7), plain_tokenizer(name)
+        for a in range(0, len(texts), 50):
+            offsets, ids = e(pa.array(texts[a : a + 50]))
+            assert len(e.young) < 120
+            for i, x in enumerate(texts[a : a + 50]):
+                assert ids[offsets[i] : offsets[i + 1]].tolist() == plain.encode(x, add_special_tokens=False).ids + [7]
+
+
 # --- op6 -----------------------------------------------------------------------------------
 
 WORDS = {"en": "the and of with that house water morning reading", "de": "der und nicht mit straße häuser schön wasser morgen", "fr": "le et de avec maison été garçon matin lire", "es": "el y de con casa niño mañana leer agua"}
@@ -294,11 +339,9 @@ def test_plan_places_every_piece_once(n):
 
 
 def test_packing(spark):
-    from claimcheck.llm.bpe import Encoder
-
     rows = [(1, "word " * 3000), (2, None), (3, ""), (4, "short text"), (4, "short text"), (None, "no id"), *((100 + k, "some words " * k) for k in range(1, 60))]
     got = packing.packed(docs(spark, rows), tokenizer="word_bpe_49k.json", end_id=0).collect()
-    tk = Encoder.of("word_bpe_49k.json", 0).tokenizer
+    tk = plain_tokenizer("word_bpe_49k.json")
     want = []
     for key, t in rows:
         ids = np.array(tk.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
