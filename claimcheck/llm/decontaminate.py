@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import from_parts, parts, steps, strings, words_of
+from .common import from_parts, lean, parts, small_batches, steps, strings, words_of
 
 #: Bytes of words stay (A-Z as a-z), all others become a space: 0-9, a-z and everything from 0x80.
 WORD_BYTES = np.full(256, 0x20, np.uint8)
@@ -130,7 +130,7 @@ def _counts(documents: DataFrame, text: str, vocabulary: pa.StringArray) -> np.n
         at = np.flatnonzero(total[1:])
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[1:][at], pa.int64())], ["word", "n"])
 
-    got = documents.select(text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    got = documents.select(text).mapInArrow(lean(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(len(vocabulary), np.int64)
     for r in got:
         out[r.word] = r.n
@@ -172,6 +172,7 @@ def contaminated(
     named ``into`` is replaced.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     names = [c for c in documents.columns if c != into]
     out = documents.select(names)
     blocks = _blocks(benchmark, item_col, item_text_col, max_index_words)
@@ -224,7 +225,7 @@ def contaminated(
                 kind = kind or pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in passed), pa.array(found, kind)], [*passed, into])
 
-        out = out.mapInArrow(find, schema)
+        out = out.mapInArrow(lean(find), schema)
         block, k = after, k + 1
     return out
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import steps, strings
+from .common import lean, small_batches, steps, strings
 
 # HTML element names and words of class and id attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr keygen frame".split())
@@ -250,6 +250,7 @@ def extracted(pages: DataFrame, *, html_col: str = "html", text_col: str = "text
 
     Rows are independent: null and empty html give an empty text, repeated rows repeat.
     """
+    small_batches(pages.sparkSession)
     names = [c for c in (pages.columns if keep is None else keep) if c not in (text_col, html_col)]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +259,7 @@ def extracted(pages: DataFrame, *, html_col: str = "html", text_col: str = "text
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(texts, pa.string())], [*names, text_col])
 
     schema = T.StructType([*(pages.schema[c] for c in names), T.StructField(text_col, T.StringType())])
-    return pages.select(*names, html_col).mapInArrow(extract, schema)
+    return pages.select(*names, html_col).mapInArrow(lean(extract), schema)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

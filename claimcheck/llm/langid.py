@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import steps, strings
+from .common import lean, small_batches, steps, strings
 
 SYMBOLS = 64
 #: Features: single symbols, pairs, and triples hashed to this many cells.
@@ -33,7 +33,7 @@ UNKNOWN = "und"
 SAMPLE_ROWS = 2000
 #: Rows of each label at least, however many labels there are.
 LABEL_ROWS = 20
-STEP = 2 << 20
+STEP = 1 << 20
 
 
 def _alphabet() -> np.ndarray:
@@ -164,7 +164,7 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             raw = [np.concatenate([np.flatnonzero(r).astype(np.float32), r[np.flatnonzero(r)]]).tobytes() for r in x[has]]
             yield pa.RecordBatch.from_arrays([b.column("lang").filter(pa.array(has)), pa.array(raw, pa.binary())], ["lang", "x"])
 
-    got = chosen.select("lang", "text").mapInArrow(features, "lang string, x binary").limit(2 * quota * labels).toArrow()
+    got = chosen.select("lang", "text").mapInArrow(lean(features), "lang string, x binary").limit(2 * quota * labels).toArrow()
     x = np.zeros((got.num_rows, SIZE), np.float32)
     for i, raw in enumerate(got["x"].to_pylist()):
         v = np.frombuffer(raw, np.float32)
@@ -178,6 +178,7 @@ def predicted(documents: DataFrame, model: Model, *, text_col: str = "text", kee
     ``und`` with score 0 where the text is null, empty or has no letter; ambiguous where the
     best codeword leads the second by less than ``lead``. A column already named ``into`` is replaced.
     """
+    small_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
     names = [c for c in (documents.columns if keep is None else keep) if c != into]
     read = list(dict.fromkeys([*names, text_col]))
@@ -197,7 +198,7 @@ def predicted(documents: DataFrame, model: Model, *, text_col: str = "text", kee
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), found], [*names, into])
 
     schema = T.StructType([*(documents.schema[c] for c in names), T.StructField(into, T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]))])
-    return documents.select(read).mapInArrow(predict, schema)
+    return documents.select(read).mapInArrow(lean(predict), schema)
 
 
 def fold(column: str, n: int):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Forest, components, groups, mixed, shingle_sets, steps, strings, written
+from .common import Forest, components, groups, lean, mixed, shingle_sets, small_batches, steps, strings, written
 
 BANDS, ROWS = 40, 5
 BASE, RATE = 1.001, 20.0
@@ -73,6 +73,15 @@ def may_reach(larger: np.ndarray, smaller: np.ndarray, equal: np.ndarray, na: np
     return larger * dp / p + smaller * dq / q - equal * (dp + dq) / np.maximum(1 - p - q, 1e-9) >= 0
 
 
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many hashes two sorted sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
 def _sketch(documents: DataFrame, idc: str, text: str, k: int, bands: int, rows: int) -> DataFrame:
     kind = documents.schema[idc].dataType
 
@@ -86,7 +95,7 @@ def _sketch(documents: DataFrame, idc: str, text: str, k: int, bands: int, rows:
             yield pa.RecordBatch.from_arrays([b.column(idc), pa.array(n), pa.array(digest, pa.binary()), lists], ["id", "n_shingles", "digest", "bands"])
 
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    return documents.select(idc, text).mapInArrow(sketch, schema)
+    return documents.select(idc, text).mapInArrow(lean(sketch), schema)
 
 
 def _links(tiles: DataFrame, k: int, m: int, over: int, under: int) -> DataFrame:
@@ -124,22 +133,18 @@ def _links(tiles: DataFrame, k: int, m: int, over: int, under: int) -> DataFrame
                 continue
             pairs, score = np.concatenate(pairs), np.concatenate(score)
             forest, found = Forest(count), []
-            whole: dict[int, set] = {}
             for a, c in pairs[np.argsort(-score, kind="stable")].tolist():
                 if forest.root(a) == forest.root(c):
                     continue
-                for x in (a, c):
-                    if x not in whole:
-                        whole[x] = set(sets[x].tolist())
-                both = len(whole[a] & whole[c])
-                if under * both >= over * (len(whole[a]) + len(whole[c]) - both):
+                both = shared(sets[a], sets[c])
+                if under * both >= over * (len(sets[a]) + len(sets[c]) - both):
                     forest.join(a, c)
                     found.append((a, c))
             if found:
                 at = np.array(found)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[:, 0])), ids.take(pa.array(at[:, 1]))], ["a", "b"])
 
-    return tiles.mapInArrow(link, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return tiles.mapInArrow(lean(link), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def _in_bitmap(docs: DataFrame, family: DataFrame) -> DataFrame:
@@ -176,6 +181,7 @@ def near_duplicates(
     than the two named are not read.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketch = written(_sketch(docs, "id", "text", shingle, bands, rows), "sketch")
     unique = written(sketch.where("n_shingles > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "unique")
