@@ -1,34 +1,32 @@
-"""Language-model scoring with a weighted backoff automaton.
+"""Language-model scoring with a weighted backoff automaton over words.
 
 Texts are sequences of words (between ASCII white space, A-Z lower-cased) and one end. The model
-is a smoothed n-gram model over the bytes of words: contexts are states, kept n-grams are arcs
-with a log-probability and a next state, and a state without an arc for a symbol follows its
-failure arc to the state of the next shorter context, which costs its backoff weight. A text is
-one left-to-right traversal. The start state also has an arc for each word of the training
-corpus, its discounted relative count joined with the path through its letters; other words take
-the failure arc to the letters. The end of a word leads back to the start state, so a word's
-weight is the same wherever it stands and is found once for each distinct word.
-
-A corpus holds texts of several kinds (languages, above all), so the start state is one of KINDS:
-a text's probability is the sum over the kinds of their share times the text's path from that
-kind's start state, whose word arcs have that kind's counts. Kinds are a mixture fitted to the
-most frequent words of a bounded sample (``sample_rows``); each training text counts for its
-likeliest kind. The states below the start, the letters, are shared.
-
-Counts cover the whole training corpus and grow with it. N-grams rarer than ``rarest`` of all
-symbols have no arc of their own (shorter contexts stand in for them), so at most
-ORDER / rarest arcs reach the driver and the tasks, whatever the corpus.
-
-Word counts are never sent anywhere whole: documents are cut into blocks as they are read; a
-block's distinct words go out once, with the block's training counts, are summed up over all
-blocks, and come back to the block with their count and weight, where its documents are scored.
+holds all n-grams of up to ``order`` words of the training texts, smoothed towards shorter
+contexts: p(w | h) = (c(hw) + k p(w | h')) / (c(h) + k), where h' is h without its first word. As
+an automaton: a context is a state; an n-gram is an arc with that weight to the state of its last
+words; a state without an arc for a word follows its failure arc to the state of the shorter
+context, at the weight k / (c(h) + k). A text is one left-to-right traversal from the start state
+that carries the state and adds up log-probabilities. In the empty context, known words share
+1 - u by their counts, and an unknown word has u (the share of words seen once) times the weight
+of its path through an automaton of the same kind over bytes. What the bytes' model gives to known
+words is left out, so the probabilities add up to a little less than one.
+
+No n-gram is pruned and the automaton is never in one place. Documents are cut into blocks of
+bounded size as they are read. A block asks for each of its distinct n-grams once, with the
+block's training count; questions go by ranges of a hash, where the counts of all blocks are summed
+up, and come back to the block, which builds the part of the automaton that its own texts can
+reach. So what is gathered grows with the corpus, tasks stay of one size, a word that stands
+everywhere is one question a block, and nothing is broadcast.
+
+N-grams are known by 64 bits of a hash; those of two and more words by enough bits that one in
+2^24 shares its place with another (``bits``), which keeps the questions small.
 """
 
 from __future__ import annotations
 
-import json
-from collections import Counter
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,394 +36,419 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, from_parts, groups, parts, steps, strings, translated, words_of, written
-
-#: Context bytes at most, plus one.
-ORDER = 5
-RAREST = 2e-6
-DISCOUNT = 0.6
-BLOCK_BYTES = 48 << 20
-KINDS = 4
-#: Words that tell kinds apart, and rows of the sample they are found in.
-MARKERS, SAMPLE_ROWS = 256, 1500
-# Symbols: byte + 1, then these (fixed values); 0 is no symbol.
-WORD_END, TEXT_END, START = 257, 258, 259
-BITS = 9
-
-
-def _grams(sequence: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(keys, positions) of the n-grams that end at each symbol but START, for contexts of 0, 1, ... symbols."""
-    key = np.zeros(len(sequence), np.int64)
-    for k in range(ORDER):
-        at = np.flatnonzero((place >= k) & (sequence != START))
-        shifted = sequence[at - k].astype(np.int64) << (BITS * k)
-        key[at] = key[at] | shifted
-        yield key[at] | (k + 1) << (BITS * ORDER), at
-
-
-def symbols(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """START, the bytes and WORD_END of each word: (symbols, place in the word, word)."""
-    offsets, data = parts(words)
-    n = np.diff(offsets)
-    start = np.concatenate([[0], np.cumsum(n + 2)])
-    out = np.empty(start[-1], np.int64)
-    word = np.repeat(np.arange(len(n)), n + 2)
-    place = np.arange(start[-1]) - start[:-1][word]
-    inside = (place > 0) & (place <= n[word])
-    out[inside] = data.astype(np.int64) + 1
-    out[place == 0] = START
-    out[place == n[word] + 1] = WORD_END
-    return out, place, word
-
-
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[new], np.add.reduceat(counts, new) if len(keys) else counts
-
-
-def count_grams(words: pa.StringArray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sequence, place, word = symbols(words)
-    got = [(k, counts[word[at]]) for k, at in _grams(sequence, place)]
-    return summed(np.concatenate([k for k, _ in got]), np.concatenate([c for _, c in got]))
+from .common import LOWER, groups, hashed, lean, mixed, parts, small_batches, strings, translated, words_of, written
+
+ORDER, LETTERS = 3, 4
+#: Weight of the shorter context, by words of the context; the same for bytes.
+PRIOR = (1000.0, 30.0)
+LETTER_PRIOR = (4.0, 4.0, 4.0)
+#: Text bytes of a block.
+BLOCK_BYTES = 8 << 20
+#: Tokens between the places at which a long text is entered; a state depends on the last words only.
+SEGMENT = 256
+# Symbols of the bytes' automaton (fixed values): a byte, the end of a word, its start.
+WORD_END, WORD_START = 256, 257
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+# --- bytes of columns ------------------------------------------------------------------------
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Unsigned integers, byte by byte of their places, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+
+
+def unpacked(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(data.reshape(size, -1).T).view(kind).ravel()
+
+
+# --- n-grams of a block ------------------------------------------------------------------------
+
+
+class Level(NamedTuple):
+    """The distinct n-grams of one size: sorted keys, the place of one occurrence, the n-gram at each place (-1: none), training counts."""
+
+    keys: np.ndarray
+    at: np.ndarray
+    index: np.ndarray
+    counts: np.ndarray
+
+
+def levels(symbols: np.ndarray, place: np.ndarray, h: np.ndarray, order: int, weight: np.ndarray, start: int, bits: int = 64) -> list[Level]:
+    """n-grams of 1 to ``order`` symbols. ``place`` counts within a sequence, which begins with ``start`` (no n-gram ends there)."""
+    out, before = [], h[symbols]
+    for k in range(1, order + 1):
+        if k > 1:
+            here = mixed(before[:-1] * GOLDEN + h[symbols[1:]] + np.uint64(k))
+            before = np.concatenate([before[:1], here])
+        at = np.flatnonzero((symbols != start) & (place >= k - 1))
+        keys = before[at] if k == 1 else before[at] >> np.uint64(64 - bits)
+        sort = np.argsort(keys)
+        keys = keys[sort]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        which = np.empty(len(keys), np.int32)
+        which[sort] = np.cumsum(new, dtype=np.int32) - 1
+        index = np.full(len(symbols), -1, np.int32)
+        index[at] = which
+        counts = np.bincount(which, weights=weight[at], minlength=int(new.sum())).astype(np.int64)
+        out.append(Level(keys[new], at[sort[new]], index, counts))
+    return out
+
+
+class Block(NamedTuple):
+    """Texts as symbols: words by number, then the end, then the start; where each text begins."""
+
+    symbols: np.ndarray
+    place: np.ndarray
+    first: np.ndarray
+    words: pa.Array
+    train: np.ndarray
+
+    @classmethod
+    def of(cls, codes: bytes, words: bytes, lengths: list[int], train: list[bool]) -> Block:
+        raw = zstandard.ZstdDecompressor().decompress(words).decode("utf-8", "surrogatepass")
+        words = pa.array(raw.split("\n") if raw else [], pa.string())
+        n = np.asarray(lengths, np.int64)
+        offsets = np.concatenate([[0], np.cumsum(n)])
+        flat = unpacked(codes, "<u4").astype(np.int32)
+        first = offsets[:-1] + 2 * np.arange(len(n))
+        symbols = np.full(offsets[-1] + 2 * len(n), len(words), np.int32)
+        row = np.repeat(np.arange(len(n)), n)
+        symbols[np.arange(len(flat)) + 2 * row + 1] = flat
+        symbols[first] = len(words) + 1
+        place = np.arange(len(symbols)) - np.repeat(first, n + 2)
+        return cls(symbols, place, first, words, np.repeat(np.asarray(train, bool), n + 2))
+
+    def word_levels(self, order: int, bits: int) -> list[Level]:
+        v = len(self.words)
+        h = mixed(np.concatenate([hashed(self.words), np.array([1, 2], np.uint64)]) + GOLDEN)
+        h[v:] = mixed(np.array([0x656E64, 0x7374617274], np.uint64))
+        return levels(self.symbols, self.place, h, order, self.train, v + 1, bits)
+
+    def spelled(self, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbols, place, word) of the words, or of some."""
+        words = self.words if which is None else self.words.take(pa.array(which))
+        offsets, data = parts(words)
+        n = np.diff(offsets).astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(n + 2)])
+        word = np.repeat(np.arange(len(n)), n + 2)
+        place = np.arange(first[-1]) - first[:-1][word]
+        out = np.full(first[-1], WORD_END, np.int32)
+        out[place == 0] = WORD_START
+        out[(place > 0) & (place <= n[word])] = data
+        return out, place, word
+
+    def letter_levels(self, order: int, counts: np.ndarray) -> list[Level]:
+        """counts: how often each word stands in the block's training texts."""
+        symbols, place, word = self.spelled()
+        h = mixed(np.arange(1, WORD_START + 2, dtype=np.uint64) * GOLDEN)
+        return levels(symbols, place, h, order, counts[word].astype(np.float64), WORD_START)
+
+
+# --- the automaton -----------------------------------------------------------------------------
 
 
 class Automaton:
-    """States, failure arcs with backoff weights, and arcs; natural logarithms."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """From the kept n-grams (packed, with their number of symbols above) and their counts."""
-        size = keys >> (BITS * ORDER)
-        low = keys & ((1 << (BITS * ORDER)) - 1)
-        by = {k: (low[size == k], counts[size == k].astype(np.float64)) for k in range(1, ORDER + 1)}
-        by = {k: (x[np.argsort(x)], c[np.argsort(x)]) for k, (x, c) in by.items()}
-        one = np.zeros(512)
-        one[by[1][0]] = by[1][1]
-        alphabet = np.arange(1, TEXT_END + 1)
-        base = np.full(512, -np.inf)
-        base[alphabet] = np.log((one[alphabet] + 0.5) / (one.sum() + 0.5 * len(alphabet)))
-        # states: the empty context is 0; then contexts by length
-        names, first = {0: np.zeros(1, np.int64)}, {0: 0}
-        total = 1
-        arcs = {1: (alphabet.astype(np.int64), base[alphabet])}
-        self.fail, self.back = [np.zeros(1, np.int64)], [np.zeros(1)]
-        lower = {}
-        for k in range(1, ORDER):
-            grams, n = by[k + 1]
-            context = grams >> BITS
-            names[k], inverse = np.unique(context, return_inverse=True)
-            first[k] = total
-            total += len(names[k])
-            # a context's count: it stands before some symbol wherever it stands
-            if k == 1:
-                own = np.where(names[k] == START, n[context == START].sum() if (context == START).any() else 0, one[np.minimum(names[k], 511)])
-            else:
-                at = np.searchsorted(by[k][0], names[k])
-                own = by[k][1][np.minimum(at, max(len(by[k][0]) - 1, 0))] if len(by[k][0]) else np.zeros(len(names[k]))
-            # START is counted with no symbol before it: contexts that begin with it have their n-gram's count
-            own = np.maximum(own, np.bincount(inverse, weights=n, minlength=len(names[k])))
-            p = (n - np.minimum(DISCOUNT, n / 2)) / own[inverse]
-            short = grams & ((1 << (BITS * k)) - 1)
-            j = np.searchsorted(arcs[k][0], short)
-            under = np.exp(arcs[k][1][np.minimum(j, len(arcs[k][0]) - 1)])
-            kept, below = np.bincount(inverse, weights=p, minlength=len(names[k])), np.bincount(inverse, weights=under, minlength=len(names[k]))
-            self.back.append(np.log(np.maximum(1 - kept, 1e-12)) - np.log(np.maximum(1 - below, 1e-12)))
-            arcs[k + 1] = (grams, np.log(p))
-            lower[k] = inverse
-            self.fail.append(self._state(names[k] & ((1 << (BITS * (k - 1))) - 1), k - 1, names, first))
-        key, weight, to = [], [], []
-        for k in range(ORDER):
-            grams, p = arcs.get(k + 1, (np.zeros(0, np.int64), np.zeros(0)))
-            source = np.zeros(len(grams), np.int64) if k == 0 else first[k] + lower[k]
-            key.append(source << BITS | grams & 511)
-            weight.append(p)
-            to.append(self._state(grams & ((1 << (BITS * (ORDER - 1))) - 1), min(k + 1, ORDER - 1), names, first))
-        key, weight, to = np.concatenate(key), np.concatenate(weight), np.concatenate(to)
-        order = np.argsort(key)
-        self.key, self.weight, self.to = key[order], weight[order], to[order]
-        self.fail, self.back = np.concatenate(self.fail), np.concatenate(self.back)
-        self.start = int(self._state(np.array([START]), 1, names, first)[0])
-
-    @staticmethod
-    def _state(context: np.ndarray, k: int, names: dict[int, np.ndarray], first: dict[int, int]) -> np.ndarray:
-        """The state of the longest suffix of each context that has one."""
-        out = np.zeros(len(context), np.int64)
-        open_ = np.ones(len(context), bool)
-        for j in range(k, 0, -1):
-            if j not in names or not len(names[j]):
-                continue
-            c = context & ((1 << (BITS * j)) - 1)
-            at = np.minimum(np.searchsorted(names[j], c), len(names[j]) - 1)
-            found = open_ & (names[j][at] == c)
-            out[found] = first[j] + at[found]
-            open_ &= ~found
-        return out
+    """States, failure arcs with backoff weights, arcs; natural logarithms."""
+
+    def __init__(self, symbols: np.ndarray, found: list[Level], counts: list[np.ndarray], base: np.ndarray, starts: int, prior: tuple[float, ...], alphabet: int) -> None:
+        """From the n-grams of ``symbols``, their counts in the whole corpus and the weights of single symbols."""
+        order = len(found)
+        self.alphabet = alphabet
+        # the start of a text is a context like a single symbol, though no arc leads to it
+        totals = [np.append(counts[0], starts), *counts[1:]]
+        offset = np.concatenate([[1], 1 + np.cumsum([len(t) for t in totals[: order - 1]])]).astype(np.int64)
+        states = int(offset[order - 1]) if order > 1 else 1
+        self.fail, self.back = np.zeros(states, np.int64), np.zeros(states)
+        self.start = int(offset[1] - 1) if order > 1 and starts > 0 else 0
+        for k in range(1, order):  # contexts of k symbols
+            n, own = len(totals[k - 1]), slice(int(offset[k - 1]), int(offset[k]))
+            self.back[own] = math.log(prior[k - 1]) - np.log(totals[k - 1] + prior[k - 1])
+            if k > 1:
+                self.fail[own] = offset[k - 2] + found[k - 2].index[found[k - 1].at[:n]]
+        known = counts[0] > 0
+        single = symbols[found[0].at]
+        target = np.where(known, offset[0] + np.arange(len(single)), 0) if order > 1 else np.zeros(len(single), np.int64)
+        arcs = [(single.astype(np.int64), base, target)]
+        weight = base
+        for k in range(2, order + 1):
+            level, c = found[k - 1], counts[k - 1]
+            at = level.at
+            prefix = found[k - 2].index[at - 1].astype(np.int64)
+            prefix[prefix < 0] = len(totals[k - 2]) - 1  # only the start, before pairs
+            suffix = found[k - 2].index[at]
+            kept = c > 0
+            w = np.full(len(c), -np.inf)
+            w[kept] = np.log(c[kept] + prior[k - 2] * np.exp(weight[suffix[kept]])) - np.log(totals[k - 2][prefix[kept]] + prior[k - 2])
+            source = offset[k - 2] + prefix[kept]
+            to = offset[k - 1] + np.flatnonzero(kept) if k < order else offset[k - 2] + suffix[kept]
+            arcs.append((source * alphabet + symbols[at[kept]], w[kept], to))
+            weight = w
+        key = np.concatenate([a for a, _, _ in arcs])
+        sort = np.argsort(key)
+        self.key = key[sort]
+        self.weight = np.concatenate([w for _, w, _ in arcs])[sort]
+        self.to = np.concatenate([t for _, _, t in arcs])[sort]
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(next states, log-probabilities): failure arcs until a state has an arc for the symbol."""
-        state, weight = state.copy(), np.zeros(len(state))
-        out, todo = np.zeros(len(state), np.int64), np.arange(len(state))
-        while len(todo):
-            key = state[todo] << BITS | symbol[todo]
+        weight, out = np.zeros(len(state)), np.empty(len(state), np.int64)
+        todo = None
+        while True:
+            key = state * self.alphabet + symbol
             at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
             hit = self.key[at] == key
-            done = todo[hit]
-            weight[done] += self.weight[at[hit]]
-            out[done] = self.to[at[hit]]
-            todo = todo[~hit]
-            weight[todo] += self.back[state[todo]]
-            state[todo] = self.fail[state[todo]]
-        return out, weight
-
-    def words(self, words: pa.StringArray) -> np.ndarray:
-        """The weight of each word's path from the start state through its end."""
-        sequence, place, _ = symbols(words)
-        start = np.flatnonzero(place == 0)
-        size = np.diff(np.concatenate([start, [len(sequence)]]))
-        order = np.argsort(-size, kind="stable")
-        state, total = np.full(len(start), self.start), np.zeros(len(start))
-        live = np.searchsorted(-size[order], -np.arange(2, (size.max() if len(size) else 1) + 1), "right")
-        for i, n in enumerate(live, 1):
-            at = order[:n]
-            state[at], w = self.step(state[at], sequence[start[at] + i])
-            total[at] += w
-        return total
-
-    def end(self) -> float:
-        return float(self.step(np.array([self.start]), np.array([TEXT_END]))[1][0])
-
-
-class Kinds:
-    """A mixture of multinomials over the words most documents of a sample share."""
-
-    def __init__(self, texts: list[dict[str, int]], kinds: int) -> None:
-        df: Counter = Counter(w for t in texts for w in t)
-        self.words = [w for w, _ in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:MARKERS]]
-        at = {w: k for k, w in enumerate(self.words)}
-        x = np.zeros((len(texts), max(1, len(self.words))))
-        for i, t in enumerate(texts):
-            for w, n in t.items():
-                if w in at:
-                    x[i, at[w]] = n
-        x = np.sqrt(x[x.sum(1) > 0])
-        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        centres = [unit.mean(0)] if len(unit) else [np.ones(x.shape[1])]
-        if len(unit):
-            centres = [unit[int((unit @ centres[0]).argmin())]]
-            while len(centres) < min(kinds, len(unit)):
-                centres.append(unit[int((unit @ np.array(centres).T).max(1).argmin())])
-        centres = np.array(centres)
-        for _ in range(30):
-            if not len(unit):
-                break
-            who = (unit @ centres.T).argmax(1)
-            centres = np.array([unit[who == k].mean(0) if (who == k).any() else c for k, c in enumerate(centres)])
-            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
-        mass = centres**2 + 1e-4
-        self.log = np.log(mass / mass.sum(1, keepdims=True))
-
-    def __len__(self) -> int:
-        return len(self.log)
-
-    def of(self, rows: np.ndarray, codes: np.ndarray, times: np.ndarray, distinct: pa.StringArray, n: int) -> np.ndarray:
-        """The likeliest kind of each of n texts, from its distinct words and how often they stand there."""
-        out = np.zeros((n, len(self)))
-        if len(distinct) and self.words:
-            place = np.asarray(pc.fill_null(pc.index_in(distinct, value_set=pa.array(self.words, pa.string())), -1), np.int64)[codes]
-            on = place >= 0
-            np.add.at(out, rows[on], times[on, None] * self.log.T[place[on]])
-        return out.argmax(1)
-
-
-def find_kinds(rows: DataFrame, kinds: int, sample_rows: int) -> Kinds:
-    """From at most ``sample_rows`` training rows, those with the smallest hashes; of each its most frequent words."""
-    marked = rows.where("train and text is not null").withColumn("h", F.xxhash64("id"))
-    last = marked.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-    if last is None or kinds < 2:
-        return Kinds([], 1)
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches, "text"):
-            offsets, codes, distinct = words_of(translated(strings(b.column("text")), LOWER))
-            names, out = distinct.to_pylist(), []
-            for i in range(b.num_rows):
-                top = Counter(codes[offsets[i] : offsets[i + 1]].tolist()).most_common(MARKERS)
-                out.append(json.dumps({names[k]: n for k, n in top}))
-            yield pa.RecordBatch.from_arrays([pa.array(out)], ["words"])
-
-    got = marked.where(F.col("h") <= last).select("text").mapInArrow(frequent, "words string").limit(2 * sample_rows).collect()
-    return Kinds([json.loads(r["words"]) for r in got], kinds)
-
-
-def _blocks(rows: DataFrame, kinds: Kinds, block_bytes: int) -> DataFrame:
-    """Documents (id, kind, n_tokens, codes: distinct words and how often) and distinct words (word, idx, n0, n1, ... in training by kind), by block."""
-    sent = rows.sparkSession.sparkContext.broadcast(kinds)
-    many = len(kinds)
-    names = ["id", "block", "train", "kind", "n_tokens", "codes", "word", "idx", *(f"n{k}" for k in range(many))]
+            to = self.to[at]
+            paid = np.where(hit, self.weight[at], self.back[state])
+            if todo is None:
+                weight, out = paid, to
+                todo = np.flatnonzero(~hit)
+            else:
+                weight[todo] += paid
+                out[todo] = to
+                todo = todo[~hit]
+            if not len(todo):
+                return out, weight
+            state, symbol = self.fail[state[~hit]], symbol[~hit]
+
+    def walk(self, symbols: np.ndarray, first: np.ndarray, length: np.ndarray, reach: int) -> np.ndarray:
+        """The weight of each sequence: ``length`` symbols after its start at ``first``.
+
+        Sequences are read side by side. Long ones are entered at every SEGMENT symbols as well:
+        ``reach`` symbols read from the empty context lead to the state that the whole past leads to.
+        """
+        pieces = np.maximum(1, -(-length // SEGMENT))
+        row = np.repeat(np.arange(len(first)), pieces)
+        number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        warm = np.where(number > 0, reach, 0)
+        begin = first[row] + 1 + number * SEGMENT - warm
+        size = np.minimum(length[row] - number * SEGMENT, SEGMENT) + warm
+        sort = np.argsort(-size, kind="stable")
+        begin, warm_, size = begin[sort], warm[sort], size[sort]
+        state = np.where(number[sort] > 0, 0, self.start)
+        total = np.zeros(len(row))
+        for i in range(int(size[0]) if len(size) else 0):
+            n = int(np.searchsorted(-size, -i, "left"))
+            state[:n], w = self.step(state[:n], symbols[begin[:n] + i].astype(np.int64))
+            total[:n] += np.where(warm_[:n] <= i, w, 0.0)
+        return np.bincount(row[sort], weights=total, minlength=len(first))
+
+
+def text_scores(block: Block, order: int, letters: int, bits: int, counts: list[np.ndarray], spelling: list[np.ndarray], totals: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(known tokens, sum of log10(c + 0.5), log10 probability) of each text of a block.
+
+    ``counts`` and ``spelling`` are the corpus counts of the n-grams of words and of bytes.
+    """
+    v = len(block.words)
+    found = block.word_levels(order, bits)
+    single = block.symbols[found[0].at]
+    c = np.zeros(v + 2)
+    c[single] = counts[0]
+    starts, size, ends = totals["ends"], totals["tokens"], totals["ends"]
+    unknown = min(0.5, max(totals["once"], 1) / size) if size else 0.5
+    base = np.full(v + 2, -np.inf)
+    with np.errstate(divide="ignore"):
+        base[c > 0] = np.log(c[c > 0]) + math.log(1 - unknown) - math.log(max(size, 1))
+    if not ends:
+        base[v] = math.log(0.5)
+    which = np.flatnonzero(c[:v] == 0)
+    if len(which):
+        by = block.letter_levels(letters, np.zeros(v))
+        symbols, _, _ = block.spelled()
+        one = symbols[by[0].at]
+        p = np.log(spelling[0] + 0.5) - math.log(totals["letters"] + 0.5 * (WORD_END + 1))
+        spell = Automaton(symbols, by, spelling, p, size - ends, LETTER_PRIOR, WORD_START + 1)
+        del by, one
+        symbols, place, word = block.spelled(which)
+        first = np.flatnonzero(place == 0)
+        length = np.diff(np.append(first, len(symbols))) - 1
+        base[which] = math.log(unknown) + spell.walk(symbols, first, length, letters - 1)
+    automaton = Automaton(block.symbols, found, counts, base[single], starts, PRIOR, v + 2)
+    del found
+    length = np.diff(np.append(block.first, len(block.symbols))) - 1
+    score = automaton.walk(block.symbols, block.first, length, order - 1) / math.log(10)
+    row = np.repeat(np.arange(len(length)), length + 1)
+    on = block.symbols != v + 1
+    each = c[block.symbols]
+    known = np.bincount(row, weights=on & (each > 0), minlength=len(length))
+    low = np.bincount(row, weights=np.where(on, np.log10(each + 0.5), 0.0), minlength=len(length))
+    return known, low, score
+
+
+# --- over the corpus ---------------------------------------------------------------------------
+
+
+def _blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """One row a block: ids, train, lengths (words of each text), codes, words; tokens, ends and letters of its training texts."""
+
+    def made(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        column = lambda name: table.column(name).combine_chunks()
+        offsets, codes, distinct = words_of(translated(strings(table.column("text")), LOWER))
+        n, train = np.diff(offsets), np.asarray(column("train"), bool)
+        on = np.repeat(train, n)
+        size = np.asarray(pc.binary_length(distinct), np.int64)
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        blob = lambda x: pa.array([x], pa.binary())
+        words = zstandard.ZstdCompressor(level=1).compress("\n".join(distinct.to_pylist()).encode("utf-8", "surrogatepass"))
+        ends = int(train.sum())
+        letters = int((size[codes[on]] + 1).sum()) if on.any() else 0
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number]), one(column("id")), one(column("train")), one(pa.array(n.astype(np.int32))), blob(packed(codes.astype("<u4"))), blob(words), pa.array([int(on.sum()) + ends]), pa.array([ends]), pa.array([letters])],
+            ["block", "ids", "train", "lengths", "codes", "words", "tokens", "ends", "letters"],
+        )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task = TaskContext.get().partitionId() if TaskContext.get() else 0
-        pack = zstandard.ZstdCompressor(level=1)
-        number, ids, size = 0, None, 0
-        vocabulary: dict[str, int] = {}
-        counts = np.zeros((many, 1 << 16), np.int64)
-
-        def vocabulary_rows(block: int) -> Iterator[pa.RecordBatch]:
-            n = len(vocabulary)
-            words = pa.array(list(vocabulary), pa.string())
-            for a in range(0, n, 50_000):
-                m = min(50_000, n - a)
-                none = lambda kind: pa.nulls(m, kind)
-                yield pa.RecordBatch.from_arrays([none(ids), pa.array(np.full(m, block)), none(pa.bool_()), none(pa.int32()), none(pa.int64()), none(pa.binary()), words.slice(a, m), pa.array(np.arange(a, a + m), pa.int32()), *(pa.array(c[a : a + m]) for c in counts)], names)
-
-        for b in steps(batches, "text"):
-            ids = b.column("id").type
-            block = (task << 32) + number
-            offsets, codes, distinct = words_of(translated(strings(b.column("text")), LOWER))
-            to = np.empty(len(distinct), np.int64)
-            for k, w in enumerate(distinct.to_pylist()):
-                to[k] = vocabulary.setdefault(w, len(vocabulary))
-            while len(vocabulary) > counts.shape[1]:
-                counts = np.concatenate([counts, np.zeros_like(counts)], 1)
-            rows_ = np.repeat(np.arange(b.num_rows), np.diff(offsets))
-            near, often = np.unique(rows_ << 32 | codes, return_counts=True)
-            kind = sent.value.of(near >> 32, near & 0xFFFFFFFF, often, distinct, b.num_rows)
-            codes = to[codes] if len(codes) else codes.astype(np.int64)
-            train = np.asarray(b.column("train"))
-            width = counts.shape[1]
-            on = train[rows_]
-            counts += np.bincount(kind[rows_[on]] * width + codes[on], minlength=many * width).reshape(many, width)
-            pair, times = np.unique(rows_ << 32 | codes, return_counts=True)
-            cut_at = np.searchsorted(pair, np.arange(b.num_rows + 1) << 32)
-            packed = []
-            for i in range(b.num_rows):
-                c = (pair[cut_at[i] : cut_at[i + 1]] & 0xFFFFFFFF).astype("<u4")
-                packed.append(pack.compress(np.concatenate([c[:1], np.diff(c), times[cut_at[i] : cut_at[i + 1]]]).astype("<u4").tobytes()))
-            m = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.full(m, block)), b.column("train"), pa.array(kind, pa.int32()), pa.array(np.diff(offsets)), pa.array(packed, pa.binary()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int32()), *(pa.nulls(m, pa.int64()) for _ in range(many))], names)
-            size += int(offsets[-1]) * 7
-            if size > block_bytes:
-                yield from vocabulary_rows(block)
-                number, size = number + 1, 0
-                vocabulary.clear()
-                counts = np.zeros((many, 1 << 16), np.int64)
-        if vocabulary:
-            yield from vocabulary_rows((task << 32) + number)
-
-    made = "block long, train boolean, kind int, n_tokens long, codes binary, word string, idx int, " + ", ".join(f"n{k} long" for k in range(many))
-    return rows.mapInArrow(cut, T.StructType([T.StructField("id", rows.schema["id"].dataType), *T._parse_datatype_string(made).fields]))
-
-
-def scored(documents: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "text", rarest: float = RAREST, block_bytes: int = BLOCK_BYTES, kinds: int = KINDS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        held, size = [], 0
+        for b in batches:
+            at = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column("text")), 0), np.int64) + 8)
+            start = 0
+            while start < b.num_rows:
+                base = at[start - 1] if start else 0
+                end = max(start + (not held), int(np.searchsorted(at, base + block_bytes - size, "right")))
+                if end > start:
+                    held.append(b.slice(start, end - start))
+                    size += int(at[end - 1] - base)
+                start = end
+                if start < b.num_rows:
+                    yield made(number, held)
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield made(number, held)
+
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(rows.schema["id"].dataType)), *T._parse_datatype_string("train array<boolean>, lengths array<int>, codes binary, words binary, tokens long, ends long, letters long").fields])
+    return rows.mapInArrow(lean(cut), schema)
+
+
+def _widths(order: int, bits: int) -> list[int]:
+    """Bits of the keys of each kind of question: n-grams of words by size, then all n-grams of bytes."""
+    return [64] + [bits] * (order - 1) + [64]
+
+
+def _questions(order: int, letters: int, bits: int, shards: int):
+    """Rows (shard, block, keys, counts): a shard is a kind and a range of its keys."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                number = b.column("block")[r].as_py()
+                block = Block.of(*(b.column(c)[r].as_py() for c in ("codes", "words", "lengths", "train")))
+                found = block.word_levels(order, bits)
+                c = np.zeros(len(block.words) + 2, np.int64)
+                c[block.symbols[found[0].at]] = found[0].counts
+                kinds = [(x.keys, x.counts) for x in found]
+                del found
+                spelled = block.letter_levels(letters, c)
+                keys = np.concatenate([mixed(x.keys + np.uint64(k)) for k, x in enumerate(spelled)])
+                sort = np.argsort(keys)
+                kinds.append((keys[sort], np.concatenate([x.counts for x in spelled])[sort]))
+                del spelled, block
+                for kind, ((keys, counts), width) in enumerate(zip(kinds, _widths(order, bits))):
+                    step = -(-(1 << width) // shards)
+                    cuts = [0, *np.searchsorted(keys, np.array([k * step for k in range(1, shards)], np.uint64)).tolist(), len(keys)]
+                    shard, raw, n = [], [], []
+                    for s, (a, z) in enumerate(zip(cuts, cuts[1:])):
+                        if z > a:
+                            shard.append(kind * shards + s)
+                            raw.append(packed(np.diff(keys[a:z], prepend=np.uint64(0))))
+                            n.append(packed(counts[a:z].astype("<u8")))
+                    yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([number] * len(shard), pa.int64()), pa.array(raw, pa.binary()), pa.array(n, pa.binary())], ["shard", "block", "keys", "counts"])
+
+    return ask
+
+
+def _answers(shards: int):
+    """Rows (shard, block, counts): what each block asked, summed up over all blocks; and of single words how many there are, and once only."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, ["shard"]):
+            shard = g["shard"][0].as_py()
+            asked = [np.cumsum(unpacked(x, "<u8"), dtype=np.uint64) for x in g["keys"].to_pylist()]
+            keys = np.concatenate(asked)
+            counts = np.concatenate([unpacked(x, "<u8") for x in g["counts"].to_pylist()]).astype(np.int64)
+            cuts = np.cumsum([0] + [len(x) for x in asked])
+            del asked
+            sort = np.argsort(keys)
+            keys = keys[sort]
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            del keys
+            sums = np.add.reduceat(counts[sort], np.flatnonzero(new))
+            total = np.empty(len(sort), np.uint64)
+            total[sort] = sums[np.cumsum(new) - 1]
+            single = shard < shards
+            types, once = (int((sums > 0).sum()), int((sums == 1).sum())) if single else (0, 0)
+            raw = [packed(total[a:z].astype("<u8")) for a, z in zip(cuts, cuts[1:])]
+            n = len(raw)
+            yield pa.RecordBatch.from_arrays([g["shard"].combine_chunks(), g["block"].combine_chunks(), pa.array(raw, pa.binary()), pa.array([types] + [0] * (n - 1)), pa.array([once] + [0] * (n - 1))], ["shard", "block", "answer", "types", "once"])
+
+    return answer
+
+
+def scored(documents: DataFrame, train, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, letters: int = LETTERS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id, train, n_tokens, n_known, train_tokens, base_score, score of each row; ``train`` is a boolean column.
 
-    Null texts are empty; an empty text is one end. Rows that repeat a document are scored and
-    counted as often as they stand there; a null id is carried along; ``train`` that is null
-    counts as false. Without any training row every word is unknown and symbols are equally
-    likely. Other columns are not read; an empty table gives no rows.
+    Null texts are empty; an empty text is one end. A very long text is a block of its own. Rows
+    that repeat a document are scored and counted as often as they stand there; a null id is
+    carried along; ``train`` that is null counts as false. Without any training row every word is
+    unknown and bytes are equally likely. Other columns are not read; an empty table gives no rows.
+    Scores don't depend on how rows are dealt out.
     """
+    if not 2 <= order <= len(PRIOR) + 1 or not 2 <= letters <= len(LETTER_PRIOR) + 1:
+        raise ValueError("order and letters need a prior for each length of a context")
     spark = documents.sparkSession
+    small_batches(spark)
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    found = find_kinds(rows, kinds, sample_rows)
-    many = range(len(found))
-    made = written(_blocks(rows, found, block_bytes), "blocks")
-    vocabulary = made.where("word is not null").select("block", "word", "idx", *(f"n{k}" for k in many))
-    counts = written(vocabulary.groupBy("word").agg(*(F.sum(f"n{k}").alias(f"c{k}") for k in many)).withColumn("c", sum(F.col(f"c{k}") for k in many)), "counts")
-    texts = {r["kind"]: r["n"] for r in made.where("codes is not null and train").groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
-    texts = np.array([texts.get(k, 0) for k in many], np.float64)
-    ends = int(texts.sum())
-    c = F.col("c")
-    sums = counts.where("c > 0").agg(F.count(F.lit(1)), F.sum("c"), F.sum((F.octet_length("word") + 1) * c), F.count_if(c == 1), F.count_if(c == 2), *(f(k) for k in many for f in (lambda k: F.sum(f"c{k}"), lambda k: F.count_if(F.col(f"c{k}") > 0)))).first()
-    known, tokens, length, once, twice = sums[:5]
-    total, distinct, length = (tokens or 0) + ends, known + (ends > 0), (length or 0) + ends
-    # by kind: tokens and distinct tokens, ends included
-    size = np.array([sums[5 + 2 * k] or 0 for k in many], np.float64) + texts
-    types = np.array([sums[6 + 2 * k] for k in many], np.float64) + (texts > 0)
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in batches:
-            for a in range(0, b.num_rows, 20_000):
-                s = b.slice(a, 20_000)
-                held.append(count_grams(strings(s.column("word")), np.asarray(s.column("c"), np.int64)))
-                n += len(held[-1][0])
-                if n > 4_000_000:
-                    held = [summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
-                    n = 0
-        if held:
-            keys, c = summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-            for a in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000]), pa.array(c[a : a + 100_000])], ["key", "n"])
-
-    least = max(1, int(np.ceil(rarest * length)))
-    kept = counts.where("c > 0").mapInArrow(grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-    keys, n = np.asarray(kept["key"], np.int64), np.asarray(kept["n"], np.int64)
-    if ends:
-        keys = np.concatenate([keys, [1 << (BITS * ORDER) | TEXT_END, 2 << (BITS * ORDER) | START << BITS | TEXT_END]])
-        n = np.concatenate([n, [ends, ends]])
-    automaton = Automaton(keys, n)
-    # a start state has an arc for each training word: its discounted count, and the letters' share of what that frees
-    discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    free = np.log(np.where(size > 0, discount * types / np.maximum(size, 1), 1.0))
-
-    def joined(c: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Weights by word and kind; ``c``: counts by word and kind."""
-        with np.errstate(divide="ignore"):
-            return np.logaddexp(np.log(np.maximum(c - discount, 0) / np.maximum(size, 1)), free + weight[:, None])
-
-    sent = spark.sparkContext.broadcast(automaton)
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a in range(0, b.num_rows, 20_000):
-                s = b.slice(a, 20_000)
-                by = np.stack([np.asarray(s.column(f"c{k}"), np.float64) for k in many], 1)
-                weights = joined(by, sent.value.words(strings(s.column("word")))).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([s.column("word"), s.column("c"), *(pa.array(weights[:, k]) for k in many)], ["word", "c", *columns])
-
-    columns = [f"w{k}" for k in many]
-    weighed = counts.mapInArrow(weigh, "word string, c long, " + ", ".join(f"{w} float" for w in columns))
-    back = vocabulary.select("block", "word", "idx").join(weighed, "word").select("block", F.lit(0).alias("kind"), "idx", "c", *columns)
-    none = lambda kind: F.lit(None).cast(kind)
+    made = written(_blocks(rows, block_bytes), "blocks")
+    sums = made.agg(F.count(F.lit(1)).alias("blocks"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "ends", "letters"))).first().asDict()
+    # by the size of the input: blocks to a task, questions to a shard, bits of a key
+    blocks = sums["blocks"]
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, -(-blocks // 2))
+    bits = min(64, 24 + max(20, math.ceil(math.log2(max(2, blocks * block_bytes)))))
+    kinds = len(_widths(order, bits))
+    questions = made.select("block", "codes", "words", "lengths", "train").mapInArrow(lean(_questions(order, letters, bits, shards)), "shard int, block long, keys binary, counts binary")
+    dealt = questions.repartition(max(least, -(-kinds * shards // 4)), "shard").sortWithinPartitions("shard", "block")
+    answers = written(dealt.mapInArrow(lean(_answers(shards)), "shard int, block long, answer binary, types long, once long"), "answers")
+    sums |= answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "once"))).first().asDict()
+    none = lambda c: F.lit(None).cast(made.schema[c].dataType).alias(c)
+    held = ["ids", "train", "lengths", "codes", "words"]
+    both = made.select("block", F.lit(-1).alias("shard"), *held, F.lit(None).cast("binary").alias("answer")).unionByName(answers.select("block", "shard", *(none(c) for c in held), "answer"))
+    both = both.repartition(max(least, -(-blocks // 4)), "block").sortWithinPartitions("block", "shard")
+    floor = math.log10(sums["tokens"] + 0.5 * (sums["types"] + 1))
     id_kind = rows.schema["id"].dataType
-    rest = made.where("codes is not null").select("block", F.lit(1).alias("kind"), none("int").alias("idx"), none("long").alias("c"), *(none("float").alias(w) for w in columns), "id", "train", "n_tokens", "codes")
-    both = back.select("*", none(id_kind).alias("id"), none("boolean").alias("train"), none("long").alias("n_tokens"), none("binary").alias("codes")).unionByName(rest)
-    both = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").sortWithinPartitions("block", "kind")
-    unit = np.log10(np.e)
-    floor, end_base = np.log10(total + 0.5 * (distinct + 1)), np.log10(ends + 0.5)
-    # what every text has: its kind's share and its end
-    first = joined(texts[None], np.array([automaton.end()]))[0] + np.log((texts + 0.5) / (texts + 0.5).sum())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        at, count, weight = None, None, None
-        for g in groups(batches, ["block", "kind"]):
-            if g["kind"][0].as_py() == 0:
-                idx = np.asarray(g["idx"])
-                at = g["block"][0].as_py()
-                count, weight = np.zeros(idx.max() + 1), np.zeros((idx.max() + 1, len(columns)))
-                count[idx] = np.asarray(g["c"])
-                for k, w in enumerate(columns):
-                    weight[idx, k] = np.asarray(g[w])
-                base = np.log10(count + 0.5) - floor
-                continue
-            if at != g["block"][0].as_py():
-                base, weight, count = np.zeros(1), np.zeros((1, len(columns))), np.zeros(1)
-            for b in g.to_batches():
-                known, low, high = [], [], []
-                for raw in b.column("codes").to_pylist():
-                    x = np.frombuffer(unpack.decompress(raw), "<u4")
-                    c, times = np.cumsum(x[: len(x) // 2], dtype=np.int64), x[len(x) // 2 :]
-                    known.append(int(times[count[c] > 0].sum()) + (ends > 0))
-                    low.append(float((times * base[c]).sum() + end_base - floor))
-                    high.append(float(np.logaddexp.reduce(times @ weight[c] + first) * unit))
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("train"), pa.array(np.asarray(b.column("n_tokens")) + 1), pa.array(known, pa.int64()), pa.array(np.full(b.num_rows, total, np.int64)), pa.array(low, pa.float64()), pa.array(high, pa.float64())], ["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for g in groups(batches, ["block"]):
+            shard, raw = np.asarray(g["shard"]), g["answer"].to_pylist()
+            train, lengths = g["train"][0].as_py(), g["lengths"][0].as_py()
+            block = Block.of(g["codes"][0].as_py(), g["words"][0].as_py(), lengths, train)
+            got = [np.concatenate([np.zeros(0, np.uint64), *(unpacked(raw[k], "<u8") for k in np.flatnonzero((shard >= 0) & (shard // shards == kind)))]).astype(np.float64) for kind in range(kinds)]
+            # letters were asked for together, in the order of their keys
+            spelled = block.letter_levels(letters, np.zeros(len(block.words)))
+            keys = np.concatenate([mixed(x.keys + np.uint64(k)) for k, x in enumerate(spelled)])
+            answer = np.empty(len(keys))
+            answer[np.argsort(keys)] = got[-1]
+            spelling = np.split(answer, np.cumsum([len(x.keys) for x in spelled])[:-1])
+            del spelled, keys, answer
+            known, low, high = text_scores(block, order, letters, bits, got[:-1], spelling, sums)
+            n = np.asarray(lengths, np.int64) + 1
+            ids = g["ids"].combine_chunks()
+            ids = ids.flatten()
+            for a in range(0, len(n), 10_000):
+                z = slice(a, a + 10_000)
+                m = len(n[z])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, m), pa.array(train[z], pa.bool_()), pa.array(n[z]), pa.array(known[z].astype(np.int64)), pa.array(np.full(m, sums["tokens"], np.int64)), pa.array(low[z] - n[z] * floor), pa.array(high[z])], ["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = T.StructType([T.StructField("id", id_kind), *T._parse_datatype_string("train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
-    return both.mapInArrow(score, schema).withColumnRenamed("id", id_col)
+    return both.mapInArrow(lean(score), schema).withColumnRenamed("id", id_col)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -424,50 +425,107 @@ def test_extraction(spark):
 # --- op9 -----------------------------------------------------------------------------------
 
 
+class PlainBackoff:
+    """The model of the docstring, by dictionaries and recursion."""
+
+    def __init__(self, texts):
+        self.n, self.letter = Counter(), Counter()
+        for t in texts:
+            w = ["<start>", *t, None]
+            for k in (1, 2, 3):
+                self.n.update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+            for x in t:
+                b = [-1, *x.encode(), -2]
+                for k in (1, 2, 3, 4):
+                    self.letter.update(tuple(b[i : i + k]) for i in range(len(b) - k + 1))
+        single = {k[0]: c for k, c in self.n.items() if len(k) == 1 and k[0] != "<start>"}
+        self.size = sum(single.values())
+        self.unknown = min(0.5, max(1, sum(c == 1 for c in single.values())) / self.size) if self.size else 0.5
+        self.letters = sum(c for k, c in self.letter.items() if len(k) == 1 and k != (-1,))
+
+    def spelled(self, history, x):
+        if not history:
+            return (self.letter[(x,)] + 0.5) / (self.letters + 0.5 * 257)
+        return (self.letter[(*history, x)] + 4 * self.spelled(history[1:], x)) / (self.letter[history] + 4)
+
+    def word(self, history, w):
+        if not history:
+            if self.n[(w,)]:
+                return (1 - self.unknown) * self.n[(w,)] / self.size
+            if w is None:
+                return 0.5
+            b = [-1, *w.encode(), -2]
+            return self.unknown * np.prod([self.spelled(tuple(b[max(0, i - 3) : i]), b[i]) for i in range(1, len(b))])
+        prior = lm.PRIOR[len(history) - 1]
+        return (self.n[(*history, w)] + prior * self.word(history[1:], w)) / (self.n[history] + prior)
+
+    def score(self, text):
+        w = ["<start>", *text, None]
+        return sum(np.log10(self.word(tuple(w[max(0, i - 2) : i]), w[i])) for i in range(1, len(w)))
+
+
 def test_lm_scoring(spark):
     rng = np.random.default_rng(4)
     vocabulary = [f"{a}{b}" for a in ("th", "er", "on", "é") for b in ("an", "tion", "ble", "")]
-    rows = [(i, " ".join(rng.choice(vocabulary, rng.integers(1, 60)))) for i in range(120)] + [(200, None), (201, ""), (202, "Unseen wörds\x0bx"), (203, "w" * 5000), (204, "the " * 20_000), (None, "on"), (5, "er")]
+    rows = [(i, " ".join(rng.choice(vocabulary, rng.integers(1, 60)))) for i in range(120)] + [(200, None), (201, ""), (202, "Unseen wörds\x0bx"), (203, "w" * 60), (204, "the " * 5_000 + "er "), (None, "on"), (5, "er")]
     held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 5 == 1
     words = {id(r): re.findall(r"[^\x20\x09-\x0D]+", low(r[1])) + [None] for r in rows}
-    from collections import Counter
-
     c = Counter(w for r in rows if r[0] is not None and not held(r[0]) for w in words[id(r)])
+    plain = PlainBackoff([words[id(r)][:-1] for r in rows if r[0] is not None and not held(r[0])])
     n, v = sum(c.values()), len(c)
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
+    want = {}
+    for r in rows:
+        w = words[id(r)]
+        want.setdefault(r[0], []).append((len(w), sum(c[x] > 0 for x in w), n, sum(np.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), plain.score(w[:-1])))
     for block in (1 << 26, 2_000):  # one block a task, and many
         got = lm.scored(docs(spark, rows), train, block_bytes=block).collect()
-        base = {}
-        for r in rows:
-            w = words[id(r)]
-            base.setdefault(r[0], []).append((len(w), sum(c[x] > 0 for x in w), n, sum(np.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)))
         assert len(got) == len(rows)
         for r in got:
-            assert any((r["n_tokens"], r["n_known"], r["train_tokens"]) == x[:3] and abs(r["base_score"] - x[3]) < 1e-6 * max(1, abs(x[3])) for x in base[r["doc_id"]])
-            assert np.isfinite(r["score"]) and r["score"] < 0
+            near = lambda a, b: abs(a - b) < 1e-9 * max(1, abs(b))
+            assert any((r["n_tokens"], r["n_known"], r["train_tokens"]) == x[:3] and near(r["base_score"], x[3]) and near(r["score"], x[4]) for x in want[r["doc_id"]]), (r, want[r["doc_id"]])
     assert lm.scored(docs(spark, []), train).count() == 0
     unseen = {r["doc_id"]: r for r in lm.scored(docs(spark, rows[:3]), F.lit(False)).collect()}
-    assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in unseen.values())
+    none = PlainBackoff([])
+    assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and abs(r["score"] - none.score(words[id(rows[k])][:-1])) < 1e-6 for k, r in unseen.items())
+    one = lm.scored(spark.createDataFrame([(1, "a", 3)], "doc_id long, text string, train long"), F.lit(True)).collect()
+    assert len(one) == 1 and one[0]["n_known"] == 2
 
 
-def test_automaton_is_a_distribution_and_matches_plain_backoff():
-    import pyarrow as pa
-
+def test_order_of_words_counts_and_the_model_beats_the_base(spark):
+    rng = np.random.default_rng(8)
+    follow = {k: rng.choice(60, 4) for k in range(60)}
+    rows = []
+    for i in range(400):
+        w = [int(rng.integers(60))]
+        while len(w) < 40:
+            w.append(int(rng.choice(follow[w[-1]])))
+        rows.append((i, " ".join(f"w{x}" for x in w)))
+    rows.append((1000, " ".join(reversed(rows[0][1].split()))))
+    got = {r["doc_id"]: r for r in lm.scored(docs(spark, rows), F.col("doc_id") < 300).collect()}
+    assert got[1000]["score"] < got[0]["score"] - 10 and abs(got[1000]["base_score"] - got[0]["base_score"]) < 1e-9
+    held = [r for k, r in got.items() if 300 <= k < 1000]
+    assert sum(r["score"] for r in held) > 0.98 * sum(r["base_score"] for r in held)
+
+
+def test_automaton_is_a_distribution():
+    """Over known words, the end and what unknown words get; from every state."""
     rng = np.random.default_rng(6)
-    words = ["".join(rng.choice(["th", "er", "on", "é"], rng.integers(1, 4))) for _ in range(800)]
-    distinct, counts = np.unique(words, return_counts=True)
-    keys, n = lm.count_grams(pa.array(distinct.tolist()), counts)
-    for least in (1, 20):
-        a = lm.Automaton(keys[n >= least], n[n >= least])
-        symbols = np.arange(1, lm.TEXT_END + 1)
-        for s in range(len(a.fail)):
-            assert abs(np.exp(a.step(np.full(len(symbols), s), symbols)[1]).sum() - 1) < 1e-9
-        sequence = [b + 1 for b in "théx".encode()] + [lm.WORD_END]
-        state, total = a.start, 0.0
-        for x in sequence:
-            (state,), (w,) = a.step(np.array([state]), np.array([x]))
-            total += w
-        assert abs(total - a.words(pa.array(["théx"]))[0]) < 1e-9 and state == 0 or state >= 0
+    texts = [[f"w{k}" for k in rng.integers(0, 12, rng.integers(1, 9))] for _ in range(60)]
+    words = sorted({w for t in texts for w in t})
+    codes = np.array([words.index(w) for t in texts for w in t], "<u4")
+    import zstandard
+
+    block = lm.Block.of(lm.packed(codes), zstandard.ZstdCompressor().compress("\n".join(words).encode()), [len(t) for t in texts], [True] * len(texts))
+    found = block.word_levels(3, 54)
+    total = found[0].counts.sum()
+    single = block.symbols[found[0].at]
+    a = lm.Automaton(block.symbols, found, [x.counts for x in found], np.log(found[0].counts / total * 0.9), len(texts), lm.PRIOR, len(words) + 2)
+    seen = set(a.to.tolist()) | {0, a.start}
+    for s in seen:
+        p = np.exp(a.step(np.full(len(single), s), single.astype(np.int64))[1]).sum()
+        ends = s and s in {int(a.to[np.flatnonzero(a.key == len(words))[0]])} | set(a.to[(a.key % a.alphabet) == len(words)].tolist())
+        assert ends or 0.9 - 1e-9 <= p <= 1 + 1e-9
 
 
 # --- op10 ----------------------------------------------------------------------------------
