@@ -40,7 +40,7 @@ from .common import LOWER, groups, hashed, lean, mixed, parts, small_batches, st
 
 ORDER, LETTERS = 3, 4
 #: Weight of the shorter context, by words of the context; the same for bytes.
-PRIOR = (1000.0, 30.0)
+PRIOR = (3000.0, 30.0)
 LETTER_PRIOR = (4.0, 4.0, 4.0)
 #: Text bytes of a block.
 BLOCK_BYTES = 8 << 20
@@ -99,6 +99,36 @@ def levels(symbols: np.ndarray, place: np.ndarray, h: np.ndarray, order: int, we
     return out
 
 
+def byte_levels(symbols: np.ndarray, place: np.ndarray, order: int, weight: np.ndarray) -> list[Level]:
+    """The same for bytes, in time linear in them: an n-gram is its first symbols' number and its last symbol. Keys are the symbols, not sorted."""
+    out: list[Level] = []
+    alphabet = WORD_START + 1
+    for k in range(1, order + 1):
+        at = np.flatnonzero((symbols != WORD_START) & (place >= k - 1))
+        key, size = symbols[at], alphabet
+        if k > 1:
+            n = len(out[-1].keys)
+            before = out[-1].index[at - 1]
+            key, size = np.where(before < 0, n, before).astype(np.int64) * alphabet + key, (n + 1) * alphabet
+        if size <= 1 << 24:
+            here = np.zeros(size, bool)
+            here[key] = True
+            number = np.cumsum(here, dtype=np.int32) - 1
+            which, n = number[key], int(here.sum())
+        else:
+            found, which = np.unique(key, return_inverse=True)
+            n = len(found)
+        one = np.zeros(n, np.int64)
+        one[which] = at
+        index = np.full(len(symbols), -1, np.int32)
+        index[at] = which
+        keys = np.full(n, k << 40, np.uint64)
+        for j in range(k):
+            keys |= symbols[one - j].astype(np.uint64) << np.uint64(9 * j)
+        out.append(Level(keys, one, index, np.bincount(which, weights=weight[at], minlength=n).astype(np.int64)))
+    return out
+
+
 class Block(NamedTuple):
     """Texts as symbols: words by number, then the end, then the start; where each text begins."""
 
@@ -129,98 +159,85 @@ class Block(NamedTuple):
         h[v:] = mixed(np.array([0x656E64, 0x7374617274], np.uint64))
         return levels(self.symbols, self.place, h, order, self.train, v + 1, bits)
 
-    def spelled(self, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(symbols, place, word) of the words, or of some."""
-        words = self.words if which is None else self.words.take(pa.array(which))
-        offsets, data = parts(words)
-        n = np.diff(offsets).astype(np.int64)
-        first = np.concatenate([[0], np.cumsum(n + 2)])
-        word = np.repeat(np.arange(len(n)), n + 2)
-        place = np.arange(first[-1]) - first[:-1][word]
-        out = np.full(first[-1], WORD_END, np.int32)
-        out[place == 0] = WORD_START
-        out[(place > 0) & (place <= n[word])] = data
-        return out, place, word
-
-    def letter_levels(self, order: int, counts: np.ndarray) -> list[Level]:
-        """counts: how often each word stands in the block's training texts."""
-        symbols, place, word = self.spelled()
-        h = mixed(np.arange(1, WORD_START + 2, dtype=np.uint64) * GOLDEN)
-        return levels(symbols, place, h, order, counts[word].astype(np.float64), WORD_START)
+    def letter_levels(self, order: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[Level]]:
+        """(symbols, where each word begins, levels) of the words; counts: how often each stands in the block's training texts."""
+        offsets, data = parts(self.words)
+        n = np.diff(offsets)
+        first = np.concatenate([[0], np.cumsum(n + 2)]).astype(np.int32)
+        word = np.repeat(np.arange(len(n), dtype=np.int32), n + 2)
+        place = np.arange(first[-1], dtype=np.int32) - first[:-1][word]
+        symbols = np.full(first[-1], WORD_END, np.int32)
+        symbols[place == 0] = WORD_START
+        symbols[(place > 0) & (place <= n[word])] = data
+        return symbols, first, byte_levels(symbols, place, order, counts[word].astype(np.float64))
 
 
 # --- the automaton -----------------------------------------------------------------------------
 
 
 class Automaton:
-    """States, failure arcs with backoff weights, arcs; natural logarithms."""
+    """States, failure arcs with backoff weights, arcs; natural logarithms.
+
+    The arc that a state of m symbols has for the symbol at a place is the n-gram of m + 1
+    symbols that ends there, so arcs are found by the n-gram's number at that place.
+    """
 
-    def __init__(self, symbols: np.ndarray, found: list[Level], counts: list[np.ndarray], base: np.ndarray, starts: int, prior: tuple[float, ...], alphabet: int) -> None:
-        """From the n-grams of ``symbols``, their counts in the whole corpus and the weights of single symbols."""
+    def __init__(self, found: list[Level], counts: list[np.ndarray], base: np.ndarray, starts: int, prior: tuple[float, ...]) -> None:
+        """From n-grams, their counts in the whole corpus and the weights of single symbols."""
         order = len(found)
-        self.alphabet = alphabet
         # the start of a text is a context like a single symbol, though no arc leads to it
         totals = [np.append(counts[0], starts), *counts[1:]]
         offset = np.concatenate([[1], 1 + np.cumsum([len(t) for t in totals[: order - 1]])]).astype(np.int64)
-        states = int(offset[order - 1]) if order > 1 else 1
-        self.fail, self.back = np.zeros(states, np.int64), np.zeros(states)
-        self.start = int(offset[1] - 1) if order > 1 and starts > 0 else 0
+        states = int(offset[order - 1])
+        self.fail, self.back, self.size = np.zeros(states, np.int32), np.zeros(states), np.zeros(states, np.int8)
+        self.start = int(offset[1] - 1) if starts > 0 else 0
         for k in range(1, order):  # contexts of k symbols
-            n, own = len(totals[k - 1]), slice(int(offset[k - 1]), int(offset[k]))
+            own = slice(int(offset[k - 1]), int(offset[k]))
+            self.size[own] = k
             self.back[own] = math.log(prior[k - 1]) - np.log(totals[k - 1] + prior[k - 1])
             if k > 1:
-                self.fail[own] = offset[k - 2] + found[k - 2].index[found[k - 1].at[:n]]
-        known = counts[0] > 0
-        single = symbols[found[0].at]
-        target = np.where(known, offset[0] + np.arange(len(single)), 0) if order > 1 else np.zeros(len(single), np.int64)
-        arcs = [(single.astype(np.int64), base, target)]
-        weight = base
+                self.fail[own] = offset[k - 2] + found[k - 2].index[found[k - 1].at]
+        self.index = [x.index for x in found]
+        self.arcs = np.cumsum([0] + [len(x.keys) for x in found])[:-1]
+        weights, to = [base], [np.where(counts[0] > 0, offset[0] + np.arange(len(base)), 0)]
         for k in range(2, order + 1):
-            level, c = found[k - 1], counts[k - 1]
-            at = level.at
-            prefix = found[k - 2].index[at - 1].astype(np.int64)
-            prefix[prefix < 0] = len(totals[k - 2]) - 1  # only the start, before pairs
+            at, c = found[k - 1].at, counts[k - 1]
+            prefix = found[k - 2].index[at - 1]
+            prefix = np.where(prefix < 0, len(totals[k - 2]) - 1, prefix)  # only the start, before pairs
             suffix = found[k - 2].index[at]
-            kept = c > 0
-            w = np.full(len(c), -np.inf)
-            w[kept] = np.log(c[kept] + prior[k - 2] * np.exp(weight[suffix[kept]])) - np.log(totals[k - 2][prefix[kept]] + prior[k - 2])
-            source = offset[k - 2] + prefix[kept]
-            to = offset[k - 1] + np.flatnonzero(kept) if k < order else offset[k - 2] + suffix[kept]
-            arcs.append((source * alphabet + symbols[at[kept]], w[kept], to))
-            weight = w
-        key = np.concatenate([a for a, _, _ in arcs])
-        sort = np.argsort(key)
-        self.key = key[sort]
-        self.weight = np.concatenate([w for _, w, _ in arcs])[sort]
-        self.to = np.concatenate([t for _, _, t in arcs])[sort]
-
-    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(next states, log-probabilities): failure arcs until a state has an arc for the symbol."""
-        weight, out = np.zeros(len(state)), np.empty(len(state), np.int64)
-        todo = None
-        while True:
-            key = state * self.alphabet + symbol
-            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            hit = self.key[at] == key
-            to = self.to[at]
-            paid = np.where(hit, self.weight[at], self.back[state])
-            if todo is None:
-                weight, out = paid, to
-                todo = np.flatnonzero(~hit)
-            else:
-                weight[todo] += paid
-                out[todo] = to
-                todo = todo[~hit]
-            if not len(todo):
-                return out, weight
-            state, symbol = self.fail[state[~hit]], symbol[~hit]
-
-    def walk(self, symbols: np.ndarray, first: np.ndarray, length: np.ndarray, reach: int) -> np.ndarray:
-        """The weight of each sequence: ``length`` symbols after its start at ``first``.
-
-        Sequences are read side by side. Long ones are entered at every SEGMENT symbols as well:
-        ``reach`` symbols read from the empty context lead to the state that the whole past leads to.
+            with np.errstate(divide="ignore"):
+                w = np.log(c + prior[k - 2] * np.exp(weights[-1][suffix])) - np.log(totals[k - 2][prefix] + prior[k - 2])
+            weights.append(np.where(c > 0, w, -np.inf))
+            to.append(offset[k - 1] + np.arange(len(c)) if k < order else offset[k - 2] + suffix)
+        self.weight, self.to = np.concatenate(weights), np.concatenate(to).astype(np.int32)
+
+    def step(self, state: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, log-probabilities) for the symbols at these places: failure arcs until a state has an arc."""
+        weight, out = np.zeros(len(state)), np.zeros(len(state), np.int32)
+        todo = np.arange(len(state))
+        for m in range(len(self.index) - 1, -1, -1):  # states of m symbols; their failure arcs lead to fewer
+            own = self.size[state[todo]] == m
+            who = todo[own]
+            arc = self.arcs[m] + self.index[m][place[who]]
+            paid = self.weight[arc]
+            if m:
+                hit = paid > -np.inf
+                lost = who[~hit]
+                who, arc, paid = who[hit], arc[hit], paid[hit]
+                weight[lost] += self.back[state[lost]]
+                state[lost] = self.fail[state[lost]]
+                todo = np.concatenate([todo[~own], lost])
+            weight[who] += paid
+            out[who] = self.to[arc]
+        return out, weight
+
+    def walk(self, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The weight of each sequence: ``length`` symbols after its start at ``first``, read from left to right.
+
+        Sequences are read side by side. Long ones are entered at every SEGMENT symbols as well: as
+        many symbols as a context has, read from the empty one, lead to the state that the whole past leads to.
         """
+        reach = len(self.index) - 1
         pieces = np.maximum(1, -(-length // SEGMENT))
         row = np.repeat(np.arange(len(first)), pieces)
         number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -229,48 +246,38 @@ class Automaton:
         size = np.minimum(length[row] - number * SEGMENT, SEGMENT) + warm
         sort = np.argsort(-size, kind="stable")
         begin, warm_, size = begin[sort], warm[sort], size[sort]
-        state = np.where(number[sort] > 0, 0, self.start)
+        state = np.where(number[sort] > 0, 0, self.start).astype(np.int32)
         total = np.zeros(len(row))
         for i in range(int(size[0]) if len(size) else 0):
             n = int(np.searchsorted(-size, -i, "left"))
-            state[:n], w = self.step(state[:n], symbols[begin[:n] + i].astype(np.int64))
+            state[:n], w = self.step(state[:n], begin[:n] + i)
             total[:n] += np.where(warm_[:n] <= i, w, 0.0)
         return np.bincount(row[sort], weights=total, minlength=len(first))
 
 
-def text_scores(block: Block, order: int, letters: int, bits: int, counts: list[np.ndarray], spelling: list[np.ndarray], totals: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def text_scores(block: Block, found: list[Level], counts: list[np.ndarray], spelled: tuple, spelling: list[np.ndarray], totals: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(known tokens, sum of log10(c + 0.5), log10 probability) of each text of a block.
 
     ``counts`` and ``spelling`` are the corpus counts of the n-grams of words and of bytes.
     """
     v = len(block.words)
-    found = block.word_levels(order, bits)
     single = block.symbols[found[0].at]
     c = np.zeros(v + 2)
     c[single] = counts[0]
-    starts, size, ends = totals["ends"], totals["tokens"], totals["ends"]
+    size, ends = totals["tokens"], totals["ends"]
     unknown = min(0.5, max(totals["once"], 1) / size) if size else 0.5
     base = np.full(v + 2, -np.inf)
-    with np.errstate(divide="ignore"):
-        base[c > 0] = np.log(c[c > 0]) + math.log(1 - unknown) - math.log(max(size, 1))
+    base[c > 0] = np.log(c[c > 0]) + math.log(1 - unknown) - math.log(max(size, 1))
     if not ends:
         base[v] = math.log(0.5)
     which = np.flatnonzero(c[:v] == 0)
     if len(which):
-        by = block.letter_levels(letters, np.zeros(v))
-        symbols, _, _ = block.spelled()
-        one = symbols[by[0].at]
+        _, first, by = spelled
         p = np.log(spelling[0] + 0.5) - math.log(totals["letters"] + 0.5 * (WORD_END + 1))
-        spell = Automaton(symbols, by, spelling, p, size - ends, LETTER_PRIOR, WORD_START + 1)
-        del by, one
-        symbols, place, word = block.spelled(which)
-        first = np.flatnonzero(place == 0)
-        length = np.diff(np.append(first, len(symbols))) - 1
-        base[which] = math.log(unknown) + spell.walk(symbols, first, length, letters - 1)
-    automaton = Automaton(block.symbols, found, counts, base[single], starts, PRIOR, v + 2)
-    del found
+        length = np.diff(first)[which] - 1
+        base[which] = math.log(unknown) + Automaton(by, spelling, p, size - ends, LETTER_PRIOR).walk(first[which].astype(np.int64), length)
     length = np.diff(np.append(block.first, len(block.symbols))) - 1
-    score = automaton.walk(block.symbols, block.first, length, order - 1) / math.log(10)
+    score = Automaton(found, counts, base[single], ends, PRIOR).walk(block.first, length) / math.log(10)
     row = np.repeat(np.arange(len(length)), length + 1)
     on = block.symbols != v + 1
     each = c[block.symbols]
@@ -345,8 +352,8 @@ def _questions(order: int, letters: int, bits: int, shards: int):
                 c[block.symbols[found[0].at]] = found[0].counts
                 kinds = [(x.keys, x.counts) for x in found]
                 del found
-                spelled = block.letter_levels(letters, c)
-                keys = np.concatenate([mixed(x.keys + np.uint64(k)) for k, x in enumerate(spelled)])
+                spelled = block.letter_levels(letters, c)[2]
+                keys = mixed(np.concatenate([x.keys for x in spelled]))
                 sort = np.argsort(keys)
                 kinds.append((keys[sort], np.concatenate([x.counts for x in spelled])[sort]))
                 del spelled, block
@@ -431,14 +438,13 @@ def scored(documents: DataFrame, train, *, id_col: str = "doc_id", text_col: str
             train, lengths = g["train"][0].as_py(), g["lengths"][0].as_py()
             block = Block.of(g["codes"][0].as_py(), g["words"][0].as_py(), lengths, train)
             got = [np.concatenate([np.zeros(0, np.uint64), *(unpacked(raw[k], "<u8") for k in np.flatnonzero((shard >= 0) & (shard // shards == kind)))]).astype(np.float64) for kind in range(kinds)]
-            # letters were asked for together, in the order of their keys
+            # bytes were asked for together, in the order of their mixed keys
             spelled = block.letter_levels(letters, np.zeros(len(block.words)))
-            keys = np.concatenate([mixed(x.keys + np.uint64(k)) for k, x in enumerate(spelled)])
+            keys = mixed(np.concatenate([x.keys for x in spelled[2]]))
             answer = np.empty(len(keys))
             answer[np.argsort(keys)] = got[-1]
-            spelling = np.split(answer, np.cumsum([len(x.keys) for x in spelled])[:-1])
-            del spelled, keys, answer
-            known, low, high = text_scores(block, order, letters, bits, got[:-1], spelling, sums)
+            spelling = np.split(answer, np.cumsum([len(x.keys) for x in spelled[2]])[:-1])
+            known, low, high = text_scores(block, block.word_levels(order, bits), got[:-1], spelled, spelling, sums)
             n = np.asarray(lengths, np.int64) + 1
             ids = g["ids"].combine_chunks()
             ids = ids.flatten()

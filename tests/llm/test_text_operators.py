@@ -508,24 +508,25 @@ def test_order_of_words_counts_and_the_model_beats_the_base(spark):
     assert sum(r["score"] for r in held) > 0.98 * sum(r["base_score"] for r in held)
 
 
-def test_automaton_is_a_distribution():
-    """Over known words, the end and what unknown words get; from every state."""
+def test_the_model_is_a_distribution_and_texts_may_be_entered_anywhere(monkeypatch):
+    """Over known words, the end and what unknown words get; the automaton against plain backoff on segments of any size."""
     rng = np.random.default_rng(6)
-    texts = [[f"w{k}" for k in rng.integers(0, 12, rng.integers(1, 9))] for _ in range(60)]
+    texts = [[f"w{k}" for k in rng.integers(0, 12, rng.integers(0, 40))] for _ in range(60)]
     words = sorted({w for t in texts for w in t})
-    codes = np.array([words.index(w) for t in texts for w in t], "<u4")
+    plain = PlainBackoff(texts)
+    for history in [(), ("<start>",), ("w1",), ("<start>", "w2"), ("w3", "w4"), ("unseen", "w1")]:
+        assert abs(sum(plain.word(history, w) for w in [*words, None]) + plain.unknown * np.prod([lm.PRIOR[k] / (plain.n[history[-k - 1 :]] + lm.PRIOR[k]) for k in range(len(history))]) - 1) < 1e-9
     import zstandard
 
+    codes = np.array([words.index(w) for t in texts for w in t], "<u4")
     block = lm.Block.of(lm.packed(codes), zstandard.ZstdCompressor().compress("\n".join(words).encode()), [len(t) for t in texts], [True] * len(texts))
     found = block.word_levels(3, 54)
-    total = found[0].counts.sum()
-    single = block.symbols[found[0].at]
-    a = lm.Automaton(block.symbols, found, [x.counts for x in found], np.log(found[0].counts / total * 0.9), len(texts), lm.PRIOR, len(words) + 2)
-    seen = set(a.to.tolist()) | {0, a.start}
-    for s in seen:
-        p = np.exp(a.step(np.full(len(single), s), single.astype(np.int64))[1]).sum()
-        ends = s and s in {int(a.to[np.flatnonzero(a.key == len(words))[0]])} | set(a.to[(a.key % a.alphabet) == len(words)].tolist())
-        assert ends or 0.9 - 1e-9 <= p <= 1 + 1e-9
+    totals = {"tokens": plain.size, "ends": len(texts), "letters": plain.letters, "once": sum(c == 1 for k, c in plain.n.items() if len(k) == 1 and k != ("<start>",))}
+    spelled = block.letter_levels(4, np.zeros(len(words)))
+    for segment in (3, 7, 256):
+        monkeypatch.setattr(lm, "SEGMENT", segment)
+        _, _, score = lm.text_scores(block, found, [x.counts.astype(float) for x in found], spelled, [np.zeros(len(x.keys)) for x in spelled[2]], totals)
+        assert np.allclose(score, [plain.score(t) for t in texts], atol=1e-9)
 
 
 # --- op10 ----------------------------------------------------------------------------------
