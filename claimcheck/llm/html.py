@@ -1,20 +1,26 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into text nodes with their root-to-leaf tag paths, grouped into blocks. Per
-path, text length and punctuation are totalled over its nodes; the two ratios are smoothed over
-neighbouring nodes in page order, fused by product, and thresholded by their deviation. The paths that pass
-vote, by their text, for the container that holds nearly all of the content; to it come the
-containers of all other paths that pass, and what encloses these below the body. Where the page
-names its content (article, main) only that is looked at, and each content element that holds a
-path that passes is kept whole. All blocks of the containers are kept, short ones as well, but for those under boilerplate elements (menus, forms, notices, comments, ...).
+A page is read once into a tree of elements and its text blocks in page order. A block's tag path
+is the names (and classes) from the root to its element. Per path, text length and punctuation are
+totalled over its blocks and divided by their number; the two ratios are smoothed over neighbouring
+blocks, fused by product, and thresholded by their deviation. Blocks of paths that pass select the
+content: the elements that hold them (an article or main where the page names one; else the
+nearest container, the deepest one with nearly all passing text, and what encloses them all below the body).
+All blocks of the selected elements are kept, short ones as well.
+
+Left out are elements that are no text of an article by their kind (menus, forms, scripts, ...), by
+their role, or by a whole class or id of a fixed word list; but for readers' comments, an element of the list that
+holds most of the page's text in passing paths is kept all the same. Time and memory are linear in a page, however
+deep its elements are nested.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +33,7 @@ from .common import lean, small_batches, steps, strings
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr keygen frame".split())
 RAW = frozenset("script style noscript template iframe noembed noframes xmp".split())
 RCDATA = frozenset("title textarea".split())
-DROPPED = RAW | frozenset("title textarea head svg math canvas audio video object map nav footer aside form button select option datalist dialog menu fieldset input label".split())
+DROPPED = RAW | frozenset("title textarea head svg annotation annotation-xml canvas audio video object map nav footer aside form button select option datalist dialog menu fieldset input label".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul br".split())
 CONTENT = frozenset({"article", "main"})
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -37,73 +43,96 @@ SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPE = frozenset("article main section div table td th ul ol dl aside nav footer header form blockquote button body html".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NOISE_WORDS = frozenset(
-    ("ad ads adv advert advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter "
-    "subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar sidebar side aside widget related recommended share sharing social follow footer footnav "
-    "masthead topbar header comment comments commentlist reply replies respond disqus discussion responses form search skip hidden").split()
+    ("ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter "
+    "subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar sidebar aside widget related recommended share sharing social follow footer footnav "
+    "masthead topbar search skip").split()
 )
-NOISE = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(sorted(NOISE_WORDS))})(?:$|[\s_-])", re.I)
-#: Words that say nothing of what an element holds: beside these and other words of the list a word of the list still counts inside content.
-SHAPES = frozenset("area bar block box btn button buttons container content group inner item items link links list panel post posts section slot thread top bottom wrap wrapper".split())
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus responses".split())
+#: Words that say nothing of what an element holds: beside these and numbers, words of the lists still count.
+SHAPES = frozenset(
+    ("area articles bar block box btn button buttons card cards container content global google group inner item items label leaderboard left link links list main mobile page panel post posts primary reader "
+    "readers right secondary section site slot sticky stories thread top bottom unit user users wrap wrapper").split()
+)
+#: A header is the page's own, and no part of its content, beside these words only.
+SITE_WORDS = frozenset("header bar container global inner main page site top wrap wrapper".split())
 #: Ids that headings, paragraphs and sections have as the slug of their own title are not tested but for these.
 PLAIN_IDS = frozenset("comments disqus_thread respond".split())
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"']|[\"'](?=[^<\"']*>))*)>|<[!?/][^<>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.S)
 SPACE = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?…、。，？！]")
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+KEPT, LISTED, GONE = 0, 1, 2
 
 
-def _noise_token(token: str) -> bool:
-    """Whether a whole class or id inside content is of the word list; a header there belongs to the content."""
-    parts = [x for x in re.split(r"[_-]+", token.lower()) if x]
-    return any(x in NOISE_WORDS and x != "header" for x in parts) and all(x in NOISE_WORDS or x in SHAPES for x in parts)
+def _listed(token: str, in_content: bool) -> int:
+    """Whether a whole class or id is of the word lists: KEPT, LISTED, or GONE for readers' comments."""
+    words = {x.lower() for x in PARTS.findall(token) if not x.isdigit()}
+    if "header" in words:
+        return LISTED if not in_content and words <= SITE_WORDS else KEPT
+    if not words <= NOISE_WORDS | COMMENT_WORDS | SHAPES:
+        return KEPT
+    return GONE if words & COMMENT_WORDS else LISTED if words & NOISE_WORDS else KEPT
 
 
-def _noisy(name: str, attributes: str, in_content: bool) -> bool:
+def _noise(name: str, attributes: str, in_content: bool) -> int:
     if name in DROPPED:
-        return True
+        return GONE
     if name == "header":
-        return not in_content
+        return KEPT if in_content else GONE
     if not attributes.strip() or name in ("html", "body", "article", "main"):
-        return False
+        return KEPT
+    out = KEPT
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value.lower() in ROLES):
-            return True
+            return GONE
+        if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            return GONE
         if key == "id" and (name in HEADINGS or name in ("p", "section")):
             if value.lower() in PLAIN_IDS:
-                return True
-        elif key in ("class", "id") and (any(map(_noise_token, value.split())) if in_content else NOISE.search(value)):
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+                return GONE
+        elif key in ("class", "id"):
+            out = max([out, *(_listed(x, in_content) for x in value.split())])
+    return out
 
 
-def blocks(page: str) -> list[tuple[tuple, str, int]]:
-    """(path of (element number, name), text, number of the outermost content element or 0) of each block with text.
+CLASS = re.compile(r"""(?:^|\s)class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 
-    Text under boilerplate elements is not read; elements inside a line of text don't end a block.
-    """
-    out: list[tuple[tuple, str, int]] = []
-    stack: list[tuple[int, str, bool, int]] = [(0, "", False, 0)]
-    held: list[str] = []
-    number, at, end = 0, 0, len(page)
 
-    def path() -> tuple:
-        return tuple((n, name) for n, name, _, _ in stack[1:] if name in BLOCK or name not in INLINE)
+class Page(NamedTuple):
+    """Elements in page order (0 is the root): parent, name, path, content (the outermost article or main around it, or 0), listed (the outermost element of the word list around it, or 0); blocks: element, text."""
+
+    parent: list[int]
+    name: list[str]
+    path: list[int]
+    content: list[int]
+    listed: list[int]
+    blocks: list[tuple[int, str]]
+
+
+def read(page: str) -> Page:
+    """Text under boilerplate elements is not read; elements inside a line of text don't end a block and are not in paths."""
+    out = Page([0], [""], [0], [0], [0], [])
+    paths: dict[tuple[int, str], int] = {}
+    # open elements: node (of the nearest element that is not inline), name, whether boilerplate
+    stack: list[tuple[int, str, bool]] = [(0, "", False)]
+    opened: Counter = Counter()
+    held: list[str] = []
+    at, end = 0, len(page)
 
     def flush() -> None:
         if held:
             text = SPACE.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
             if text:
-                out.append((path(), text, stack[-1][3]))
+                out.blocks.append((stack[-1][0], text))
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
             if stack[-1][1] in BLOCK:
                 flush()
-            stack.pop()
+            opened[stack.pop()[1]] -= 1
 
     while at < end:
         m = TOKEN.search(page, at)
@@ -119,22 +148,18 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
             continue
         name = name.lower()
         if m[1]:
-            if name == "p" and not any(x[1] == "p" for x in stack):
-                flush()
-            if name in BLOCK and name != "br":
-                for d in range(len(stack) - 1, 0, -1):
-                    if stack[d][1] == name:
-                        pop_to(d)
-                        break
-            else:
-                for d in range(len(stack) - 1, 0, -1):
-                    if stack[d][1] == name:
-                        pop_to(d)
-                        break
-                    if stack[d][1] in BLOCK:
-                        break
+            if not opened[name]:
+                if name == "p":
+                    flush()
+                continue
+            for d in range(len(stack) - 1, 0, -1):
+                if stack[d][1] == name:
+                    pop_to(d)
+                    break
+                if stack[d][1] in BLOCK and name not in BLOCK:
+                    break
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and opened["p"]:
             for d in range(len(stack) - 1, 0, -1):
                 if stack[d][1] == "p":
                     pop_to(d)
@@ -150,7 +175,8 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
                     break
             if lowest:
                 pop_to(lowest)
-        noisy = stack[-1][2] or _noisy(name, m[3], bool(stack[-1][3]))
+        node, _, gone = stack[-1]
+        noise = GONE if gone else _noise(name, m[3], bool(out.content[node]))
         if name in BLOCK:
             flush()
         if name in VOID:
@@ -161,9 +187,20 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
             continue
         if m[3].endswith("/") and name not in BLOCK and name not in INLINE:
             continue
-        number += 1
-        content = stack[-1][3] or (number if name in CONTENT and not noisy else 0)
-        stack.append((number, name, noisy, content))
+        opened[name] += 1
+        if name in INLINE:
+            # too little to hold a page's text: listed is gone
+            stack.append((node, name, noise != KEPT))
+            continue
+        known = CLASS.search(m[3])
+        step = name + "".join(f".{c}" for c in sorted((known[1] or known[2] or known[3] or "").split())) if known else name
+        new = len(out.parent)
+        out.parent.append(node)
+        out.name.append(name)
+        out.path.append(paths.setdefault((out.path[node], step), len(paths) + 1))
+        out.content.append(out.content[node] or (new if name in CONTENT and noise == KEPT else 0))
+        out.listed.append(out.listed[node] or (new if noise == LISTED else 0))
+        stack.append((new, name, noise == GONE))
     flush()
     return out
 
@@ -176,79 +213,100 @@ LEAVES = HEADINGS | INLINE | {"p", "li", "ul", "ol", "td", "th", "tr", "tbody",
 ROOTS = frozenset({"html", "body"})
 
 
-def _container(path: tuple) -> tuple:
-    """The path without the elements at its end that are no containers; the outermost content element if there is one."""
-    outer = next((k for k, (_, n) in enumerate(path) if n in CONTENT), None)
-    if outer is not None:
-        return path[: outer + 1]
-    end = len(path)
-    while end and path[end - 1][1] in LEAVES:
-        end -= 1
-    return path[:end]
+def path_scores(paths: list[int], texts: list[str]) -> np.ndarray:
+    """The fused, smoothed ratio of each block: text and punctuation of all blocks of its path over their number."""
+    _, which, n = np.unique(np.asarray(paths, np.int64), return_inverse=True, return_counts=True)
+    ratio = (np.bincount(which, weights=[len(t) for t in texts]) / n)[which]
+    marks = (np.bincount(which, weights=[len(PUNCTUATION.findall(t)) for t in texts]) / n)[which]
+    kernel = np.array([1, 2, 4, 2, 1]) / 10
+    if len(texts) >= len(kernel):
+        weight = np.convolve(np.ones(len(texts)), kernel, "same")
+        ratio, marks = (np.convolve(x, kernel, "same") / weight for x in (ratio, marks))
+    return ratio * (1 + marks)
 
 
-def content_paths(found: list[tuple[tuple, str, int]]) -> set[tuple]:
-    """The containers of the content: paths whose blocks are to be kept.
+def passing(page: Page, of: list[int]) -> np.ndarray:
+    """Whether each of these blocks (by number) has a path that passes."""
+    score = path_scores([page.path[page.blocks[b][0]] for b in of], [page.blocks[b][1] for b in of])
+    return score >= min(score.std(), score.max()) if len(score) else np.zeros(0, bool)
 
-    The document's root, where it only holds some paths that pass directly, stands for their
-    elements instead: they are in the set themselves.
-    """
-    if not found:
-        return set()
-    inside = [b for b in found if b[2]]
-    live = inside or found
-    # ratios by tag path: text and punctuation of all its nodes over their number
-    total: dict[tuple, list[float]] = defaultdict(lambda: [0, 0, 0])
-    names = [tuple(n for _, n in b[0]) for b in live]
-    for b, path in zip(live, names):
-        t = total[path]
-        t[0] += len(b[1])
-        t[1] += len(PUNCTUATION.findall(b[1]))
-        t[2] += 1
-    ratio = np.array([total[p][0] / total[p][2] for p in names])
-    mark = np.array([total[p][1] / total[p][2] for p in names])
-    kernel = np.array([1, 2, 4, 2, 1]) / 10
-    weight = np.convolve(np.ones(len(live)), kernel, "same")
-    smooth = lambda x: np.convolve(x, kernel, "same")[: len(x)] / weight if len(x) >= 5 else x
-    fused = smooth(ratio) * (1 + smooth(mark))
-    threshold = min(fused.std(), fused.max())
-    votes: dict[tuple, float] = defaultdict(float)
-    for b, score in zip(live, fused):
-        if score >= threshold:
-            for k in range(len(b[0]) + 1):
-                votes[b[0][:k]] += len(b[1])
-    whole = votes[()]
-    # the deepest container that holds nearly all the text of the paths that passed
-    best = max((p for p, v in votes.items() if v >= 0.95 * whole), key=len)
-    keep = {_container(best)}
-    passed = [(b[0], _container(b[0])) for b, score in zip(live, fused) if score >= threshold]
-    for path, container in passed:
-        root = not container or container[-1][1] in ROOTS
-        keep.add(path[: len(container) + 1] if root else container)
-    # what encloses all of them, if that is less than the page
-    shared = min((c for _, c in passed), key=len)
-    for _, c in passed:
-        shared = shared[: next((k for k, (x, y) in enumerate(zip(shared, c)) if x != y), len(shared))]
-    if shared and shared[-1][1] not in ROOTS:
-        keep.add(shared)
-    return keep
+
+def _sums(parent: list[int], own: list[float]) -> list[float]:
+    """Of each element, what it and all elements below it hold: children come after their parents."""
+    out = list(own)
+    for k in range(len(out) - 1, 0, -1):
+        out[parent[k]] += out[k]
+    return out
+
+
+def _unlisted(page: Page) -> list[int]:
+    """Blocks but those of the word list; an element of the list with most of all text, in several passing blocks, counts as unlisted."""
+    if not any(page.listed):
+        return list(range(len(page.blocks)))
+    passed = passing(page, list(range(len(page.blocks))))
+    total, held, many = 0, Counter(), Counter()
+    for (node, text), ok in zip(page.blocks, passed):
+        total += len(text)
+        if ok:
+            held[page.listed[node]] += len(text)
+            many[page.listed[node]] += 1
+    fine = {0} | {k for k, n in held.items() if 2 * n > total and many[k] >= 3}
+    return [b for b, (node, _) in enumerate(page.blocks) if page.listed[node] in fine]
+
+
+def selected(page: Page) -> list[int]:
+    """The blocks (by number) of the content."""
+    live = _unlisted(page)
+    inside = [b for b in live if page.content[page.blocks[b][0]]]
+    live = inside or live
+    passed = [b for b, ok in zip(live, passing(page, live)) if ok]
+    if not passed:
+        return []
+    keep = [False] * len(page.parent)
+    # of each element, the nearest one around it that may contain others
+    container = [0] * len(page.parent)
+    for k in range(1, len(page.parent)):
+        container[k] = page.content[k] or (container[page.parent[k]] if page.name[k] in LEAVES else k)
+    own, met = [0.0] * len(page.parent), [0.0] * len(page.parent)
+    for b in passed:
+        node = page.blocks[b][0]
+        own[node] += len(page.blocks[b][1])
+        met[container[node]] += 1
+    # the document's root, where it holds a block directly, stands for the block's own element
+    top = [0] * len(page.parent)
+    for k in range(1, len(page.parent)):
+        root = page.name[page.parent[k]] in ROOTS or not page.parent[k]
+        top[k] = k if root else top[page.parent[k]]
+    for b in passed:
+        node = page.blocks[b][0]
+        c = container[node]
+        keep[top[node] if page.name[c] in ROOTS or not c else c] = True
+    weight, count = _sums(page.parent, own), _sums(page.parent, met)
+    # the deepest element with nearly all passing text; the deepest that encloses all containers
+    best = max((k for k in range(len(weight)) if weight[k] >= 0.95 * weight[0]), default=0)
+    keep[container[best]] = True
+    shared = max((k for k in range(len(count)) if count[k] == count[0]), default=0)
+    if shared and page.name[shared] not in ROOTS:
+        keep[shared] = True
+    for k in range(1, len(keep)):
+        keep[k] = keep[k] or keep[page.parent[k]]
+    return [b for b in live if keep[page.blocks[b][0]]]
 
 
 def main_text(page: str | None) -> str:
     """Blocks of the content in page order, one to a line; empty for null, empty or text-free pages."""
     if not page:
         return ""
-    found = blocks(page)
-    # an element's number names its path
-    keep = {c[-1][0] if c else 0 for c in content_paths(found)}
-    named = any(content for _, _, content in found)
-    return "\n".join(text for path, text, content in found if (content or not named) and (0 in keep or any(n in keep for n, _ in path)))
+    found = read(page)
+    return "\n".join(found.blocks[b][1] for b in selected(found))
 
 
 def extracted(pages: DataFrame, *, html_col: str = "html", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns (or those in ``keep``) but the html, and its main text in ``text_col``, which replaces a column of that name.
 
-    Rows are independent: null and empty html give an empty text, repeated rows repeat.
+    Rows are independent: null and empty html give an empty text, repeated rows repeat, very long
+    and very deep pages are read whole; where paths tie at the threshold all of them pass. An
+    empty table gives no rows.
     """
     small_batches(pages.sparkSession)
     names = [c for c in (pages.columns if keep is None else keep) if c not in (text_col, html_col)]

@@ -436,6 +436,62 @@ def test_broken_pages_take_linear_time():
     assert time.perf_counter() - t < 20
 
 
+def test_article_text_under_listed_words_stays():
+    body = "".join(f"<p>Sentence {i} of the story, which goes on, and on, for a while.</p>" for i in range(10))
+    for page, part in (
+        (f'<body><div class="post"><div class="post-header"><h1>Headline</h1></div>{body}</div></body>', "Headline\nSentence 0"),
+        (f'<article><h1>H</h1>{body}<section class="discussion"><p>We discuss.</p></section></article>', "while.\nWe discuss."),
+        (f'<body><div id=c><div class="side-by-side"><p>One, two.</p></div>{body}</div>', "One, two.\nSentence 0"),
+        (f'<article>{body}<p class="form">Form, of things.</p></article>', "while.\nForm, of things."),
+        (f"<article>{body}<p>as <math><mi>x</mi><mo>=</mo></math> is</p></article>", "as x= is"),
+        (f'<div class="widget">{body}</div><div class="sidebar">links</div>', "Sentence 0"),
+    ):
+        got = main_text(page)
+        assert part in got and got.count("Sentence") == 10, page
+    comments = f'<body><article>{body}<div class="comments">{body * 3}</div></article><div class="comments-area"><p>x, y.</p></div>'
+    assert main_text(comments).count("Sentence") == 10
+
+
+def test_path_ratios_by_brute_force():
+    from claimcheck.llm import html
+
+    page = html.read("<body><nav><a>x</a></nav><div class=a><p>One, two.</p><p>Three.</p><ul><li>four<li>five, six</ul></div><div class=b><p>Seven; eight.</p><h2>Nine</h2></div><p>Ten")
+    at = {n: k for k, n in enumerate(page.name)}
+
+    def path(node):
+        out = []
+        while node:
+            out.append((page.name[node], page.path[node]))
+            node = page.parent[node]
+        return tuple(reversed(out))
+
+    names = [tuple(n for n, _ in path(node)) for node, _ in page.blocks]
+    assert [t for _, t in page.blocks] == ["One, two.", "Three.", "four", "five, six", "Seven; eight.", "Nine", "Ten"] and at["li"]
+    own = [page.path[node] for node, _ in page.blocks]
+    assert own[0] == own[1] != own[4] and names[0] == names[4] == ("body", "div", "p")  # classes are part of a path
+    ratio, marks = [], []
+    for p in own:
+        texts = [t for (_, t), q in zip(page.blocks, own) if q == p]
+        ratio.append(sum(map(len, texts)) / len(texts))
+        marks.append(sum(c in ".,;:!?" for t in texts for c in t) / len(texts))
+    want = []
+    for i in range(len(own)):
+        near = [(w, j) for w, j in zip((1, 2, 4, 2, 1), range(i - 2, i + 3)) if 0 <= j < len(own)]
+        mean = lambda x: sum(w * x[j] for w, j in near) / sum(w for w, _ in near)
+        want.append(mean(ratio) * (1 + mean(marks)))
+    assert np.allclose(html.path_scores(own, [t for _, t in page.blocks]), want)
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    t = time.perf_counter()
+    for x in ("<div>x. ", "<b>x ", "<p>a", "<ul><li>a, b", "<table><tr><td>x"):
+        main_text(x * 20_000)
+    main_text("<div>" * 20_000 + "x</p></i>" * 20_000)
+    assert time.perf_counter() - t < 10
+
+
 def test_extraction(spark):
     from claimcheck.llm.html import extracted
 
