@@ -11,7 +11,7 @@ from typing import Any, Protocol
 from pydantic import ValidationError
 from pyspark.sql import types as T
 
-from .model import CLAIM, CLAIM_TYPES, Claim, Comparison, Growth, PointValue, Ranking, Share, wire_fields
+from .model import CLAIM_TYPES, Claim, Comparison, Growth, PointValue, Ranking, Share, rules, wire_fields
 from .operators.text import Token, uncovered, written_as_difference
 
 MAX_REPORT_BYTES = 1 << 20
@@ -60,16 +60,18 @@ def wire_struct() -> T.StructType:
 
 
 def parse_one(raw: Any) -> Claim | Rejected:
+    """A claim, or why the object is none. A key that must be stated is never filled in."""
     if not isinstance(raw, dict):
         return Rejected("not_an_object", raw)
     kind = CLAIM_TYPES.get(raw.get("type"))
     if kind is None:
         return Rejected("unknown_type", raw, str(raw.get("type")))
-    foreign = sorted(k for k, v in raw.items() if k not in kind.model_fields and v is not None)
+    known = rules(raw["type"])
+    foreign = sorted(k for k, v in raw.items() if v is not None and k not in known and k != "type")
     if foreign:
         return Rejected("foreign_field", raw, ", ".join(foreign))
     try:
-        return CLAIM.validate_python({k: v for k, v in raw.items() if k in kind.model_fields and (v is not None or not kind.model_fields[k].is_required())} | {k: None for k in kind.model_fields if k in raw and raw[k] is None and not kind.model_fields[k].is_required() and k != "confidence"})
+        return kind.model_validate({k: raw[k] for k, r in known.items() if k in raw and (r.stated or raw[k] is not None)})
     except ValidationError as e:
         return Rejected("invalid_claim", raw, "; ".join(f"{'.'.join(map(str, x['loc']))}: {x['msg']}" for x in e.errors()))
 
@@ -176,18 +178,19 @@ def ask(client: Client, prompt: str, text: str, *, pauses: tuple[float, ...] = (
 
 def sample_claims() -> list[Claim]:
     """A few claims about the orders table at scale 0.01, right and wrong ones and some that cannot be checked."""
-    y = {"period": "1997"}
+    y = {"period": "1997", "confidence": "high"}
+    z = {"confidence": "low"}
     return [
         PointValue(id="c1", span="revenue was 573,455,982.34 in 1997", metric="revenue", value=573455982.34, **y),
         PointValue(id="c2", span="revenue was 573,455,983.34 in 1997", metric="revenue", value=573455983.34, **y),
         PointValue(id="c3", span="2,279 orders in 1997", metric="orders", value=2279, **y),
         Growth(id="c4", span="revenue grew 2.44% over 1996", metric="revenue", value=2.44, direction="increase", baseline_period="1996", **y),
         Growth(id="c5", span="revenue fell 2.44% over 1996", metric="revenue", value=2.44, direction="decrease", baseline_period="1996", **y),
-        Comparison(id="c6", span="orders were higher than in 1996", metric="orders", direction="higher", baseline_period="1996", **y),
-        Ranking(id="c7", span="Q3 had the highest revenue of 1997", metric="revenue", rank=1, rank_from="highest", group_by="quarter", period="1997 Q3", scope="1997"),
+        Comparison(id="c6", span="orders were higher than in 1996", metric="orders", value=None, direction="higher", baseline_period="1996", **y),
+        Ranking(id="c7", span="Q3 had the highest revenue of 1997", metric="revenue", rank=1, rank_from="highest", group_by="quarter", period="1997 Q3", scope="1997", **z),
         Ranking(id="c8", span="urgent was first by revenue", metric="revenue", rank=1, rank_from="highest", group_by="priority", subject="urgent", **y),
         Share(id="c9", span="urgent made 20.1% of orders", metric="orders", subject="urgent", value=20.1, **y),
         PointValue(id="c10", span="profit was 12", metric="profit", value=12, **y),
-        PointValue(id="c11", span="revenue was 5 lately", metric="revenue", value=5, period="lately"),
-        PointValue(id="c12", span="revenue was 5 in 1990", metric="revenue", value=5, period="1990"),
+        PointValue(id="c11", span="revenue was 5 lately", metric="revenue", value=5, period="lately", **z),
+        PointValue(id="c12", span="revenue was 5 in 1990", metric="revenue", value=5, period="1990", **z),
     ]

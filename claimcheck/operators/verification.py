@@ -50,19 +50,25 @@ def group_key(time: str, plan: RankPlan) -> Column:
     return F.date_trunc(plan.grain, M.quoted(time)).cast("date").cast("string")
 
 
+def groups(df: DataFrame, time: str, plan: RankPlan, *, exact: bool = False) -> DataFrame:
+    """key, value, n_rows of the groups of a ranking; null keys are left out."""
+    return df.where(M.in_period(time, plan.period)).groupBy(group_key(time, plan).alias("key")).agg(_double(M.value(plan.measure, kinds(df), exact=exact)).alias("value"), M.rows().alias("n_rows")).where(F.col("key").isNotNull())
+
+
 def rank(df: DataFrame, time: str, plan: RankPlan, *, exact: bool = False) -> DataFrame:
     """key, value, n_rows, rank, ordered by rank (nulls last) and key.
 
     Null keys are dropped before ranking, null values rank last, ties share a rank and leave a
-    gap. With ``min_rows`` thinner groups are returned unranked. The window holds one row a group.
+    gap. With ``min_rows`` thinner groups are returned unranked. The window holds one row a group,
+    all in one task: this is for whole rankings; claims need less (plans.lowering.ranking).
     """
-    groups = df.where(M.in_period(time, plan.period)).groupBy(group_key(time, plan).alias("key")).agg(_double(M.value(plan.measure, kinds(df), exact=exact)).alias("value"), M.rows().alias("n_rows")).where(F.col("key").isNotNull())
+    found = groups(df, time, plan, exact=exact)
     order = F.col("value").desc_nulls_last() if plan.descending else F.col("value").asc_nulls_last()
     if plan.min_rows is None:
-        ranked = groups.withColumn("rank", F.rank().over(Window.orderBy(order)).cast("long"))
+        ranked = found.withColumn("rank", F.rank().over(Window.orderBy(order)).cast("long"))
     else:
         enough = F.col("n_rows") >= plan.min_rows
-        ranked = groups.withColumn("enough", enough).withColumn("rank", F.when(F.col("enough"), F.rank().over(Window.partitionBy("enough").orderBy(order)).cast("long"))).drop("enough")
+        ranked = found.withColumn("enough", enough).withColumn("rank", F.when(F.col("enough"), F.rank().over(Window.partitionBy("enough").orderBy(order)).cast("long"))).drop("enough")
     return ranked.orderBy(F.col("rank").asc_nulls_last(), "key")
 
 

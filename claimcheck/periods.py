@@ -5,7 +5,6 @@ Nothing is relative and the clock is never read.
 
 from __future__ import annotations
 
-import calendar
 import re
 from datetime import date, timedelta
 
@@ -17,7 +16,9 @@ class PeriodError(ValueError):
     pass
 
 
-_MONTHS = {name.lower(): k for names in (calendar.month_name, calendar.month_abbr) for k, name in enumerate(names) if name}
+# English names of months (fixed values), whatever the locale; three letters of a name will do.
+_NAMES = "january february march april may june july august september october november december".split()
+_MONTHS = {said: k for k, name in enumerate(_NAMES, 1) for said in (name, name[:3])}
 _NAME = "|".join(sorted(_MONTHS, key=len, reverse=True))
 _FORMS = [
     (re.compile(r"(?P<y>\d{4})"), "year"),

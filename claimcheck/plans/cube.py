@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions import measures as M
 from ..model import Computed, Config, Measure, Plan, RankPlan, Slice
 from ..sources.dataset import Dataset
-from .lowering import answer, ranked, slices
+from .lowering import answer, ranked, ranking, slices
 
 DAY = "day"
 
@@ -79,16 +79,6 @@ def execute(cube: DataFrame, config: Config, plans: list[Plan]) -> list[Computed
             continue
         key = F.date_trunc(p.grain, DAY).cast("date").cast("string") if p.grain else F.col(f"d{_dims(config).index(p.column)}")
         v, n, _ = _value(p.measure, config)
-        groups = cube.where(M.in_period(DAY, p.period)).groupBy(key.alias("key")).agg(v.alias("value"), n.alias("n_rows")).where("key is not null").collect()
-        out.append(ranked(p, _rank([(g["key"], g["value"], g["n_rows"]) for g in groups], p), time))
+        groups = cube.where(M.in_period(DAY, p.period)).groupBy(key.alias("key")).agg(v.cast("double").alias("value"), n.alias("n_rows")).where("key is not null")
+        out.append(ranked(p, ranking(groups, p, [p.key]), time))
     return out
-
-
-def _rank(groups: list[tuple[str, float | None, int]], p: RankPlan) -> list[tuple[str, float | None, int, int | None]]:
-    enough = [g for g in groups if p.min_rows is None or g[2] >= p.min_rows]
-    order = lambda g: (g[1] is None, 0.0 if g[1] is None else -g[1] if p.descending else g[1])
-    ranks = {g[0]: 1 + sum(order(h) < order(g) for h in enough) for g in enough}
-    return sorted(((k, v, n, ranks.get(k)) for k, v, n in groups), key=lambda g: (g[3] is None, g[3] or 0, g[0]))
-
-
-

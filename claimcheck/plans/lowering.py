@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,8 @@ from . import evidence
 WIDTH = 300
 #: A grouped scan is made for at most so many combinations of asked values, and values of one dimension.
 COMBINATIONS, VALUES = 10_000, 500
+#: Groups of a ranking that may come to the driver.
+FEW_GROUPS = 10_000
 
 
 def slices(plan: Plan) -> list[tuple[Measure, Slice]]:
@@ -156,32 +159,75 @@ def batch_frame(ds: Dataset, time: str, wanted: list[tuple[Measure, Slice]], *,
     return ds.df.where(_reach(time, wanted)).agg(*aggregates)
 
 
-def ranking(ds: Dataset, time: str, plan: RankPlan, *, exact: bool = False) -> list[tuple[str, float | None, int, int | None]]:
-    """(key, value, rows, rank) of all groups: one row a group of a dimension."""
-    return [(r["key"], r["value"], r["n_rows"], r["rank"]) for r in V.rank(ds.df, time, plan, exact=exact).collect()]
-
-
-def ranked(plan: RankPlan, groups: list[tuple[str, float | None, int, int | None]], time: str) -> Computed:
+class Ranking(NamedTuple):
+    """What claims about one ranking need of it: rows, ranked and excluded groups, the first three, the rank of each asked key that is there (null: not ranked)."""
+
+    n_rows: int
+    n_groups: int
+    n_excluded: int
+    top: list[tuple[str, float | None, int | None]]
+    ranks: dict[str, int | None]
+
+
+def ranking(groups: DataFrame, plan: RankPlan, keys: list[str], *, few: int | None = None) -> Ranking:
+    """One ranking of groups (key, value, n_rows), for all the keys that are asked about.
+
+    A dimension of few groups comes to the driver and is sorted once. Of one with more, only the asked
+    groups and the first three come; ranks are counts of better groups, made in one pass without a
+    window over all groups.
+    """
+    few = FEW_GROUPS if few is None else few
+    rows = groups.limit(few + 1).collect()
+    if len(rows) <= few:
+        return of_groups(plan, [(r["key"], r["value"], r["n_rows"]) for r in rows], keys)
+    groups = groups.persist()
+    try:
+        enough = F.lit(True) if plan.min_rows is None else F.col("n_rows") >= plan.min_rows
+        mine = {r["key"]: r for r in groups.where(F.col("key").isin(keys)).collect()}
+        ranked = {k: r for k, r in mine.items() if plan.min_rows is None or r["n_rows"] >= plan.min_rows}
+        values = sorted({r["value"] for r in ranked.values()} - {None})
+        better = lambda v: F.col("value") > F.lit(v) if plan.descending else F.col("value") < F.lit(v)
+        counted = [F.count_if(enough & better(v)).alias(f"b{i}") for i, v in enumerate(values)]
+        sums = groups.agg(F.sum("n_rows").alias("n"), F.count_if(enough).alias("g"), F.count(F.lit(1)).alias("all"), F.count_if(enough & F.col("value").isNotNull()).alias("valued"), *counted).first()
+        order = (F.desc_nulls_last if plan.descending else F.asc_nulls_last)("value")
+        first = groups.where(enough).orderBy(order, "key").limit(3).collect()
+    finally:
+        groups.unpersist()
+    place = {v: sums[f"b{i}"] + 1 for i, v in enumerate(values)} | {None: sums["valued"] + 1}
+    top: list[tuple[str, float | None, int | None]] = []
+    for i, r in enumerate(first):
+        top.append((r["key"], r["value"], top[-1][2] if top and top[-1][1] == r["value"] else i + 1))
+    return Ranking(sums["n"], sums["g"], sums["all"] - sums["g"], top, {k: place[r["value"]] if k in ranked else None for k, r in mine.items()})
+
+
+def of_groups(plan: RankPlan, groups: list[tuple[str, float | None, int]], keys: list[str]) -> Ranking:
+    """The same from (key, value, rows) of all groups, sorted once; groups of one value share a rank, those without one come last."""
+    fit = [g for g in groups if plan.min_rows is None or g[2] >= plan.min_rows]
+    fit.sort(key=lambda g: (g[1] is None, 0 if g[1] is None else -g[1] if plan.descending else g[1], g[0]))
+    place: dict[float | None, int] = {}
+    for i, g in enumerate(fit, 1):
+        place.setdefault(g[1], i)
+    there = {g[0]: g for g in groups}
+    ranked = {g[0] for g in fit}
+    return Ranking(sum(g[2] for g in groups), len(fit), len(groups) - len(fit), [(k, v, place[v]) for k, v, _ in fit[:3]], {k: place[there[k][1]] if k in ranked else None for k in keys if k in there})
+
+
+def ranked(plan: RankPlan, found: Ranking, time: str) -> Computed:
     sql, params = evidence.render(plan, time)
-    counts = {"n_rows": sum(g[2] for g in groups), "n_groups": sum(g[3] is not None for g in groups)}
+    counts = {"n_rows": found.n_rows, "n_groups": found.n_groups}
     if plan.min_rows is not None:
-        counts["n_groups_excluded"] = sum(g[3] is None for g in groups)
-    mine = next((g for g in groups if g[0] == plan.key), None)
-    rank = None if mine is None or mine[3] is None else float(mine[3])
-    return Computed(rank, counts, [(k, v, r) for k, v, _, r in groups], sql, params, mine is not None)
+        counts["n_groups_excluded"] = found.n_excluded
+    rank = found.ranks.get(plan.key)
+    return Computed(None if rank is None else float(rank), counts, found.top, sql, params, plan.key in found.ranks)
 
 
 def execute(ds: Dataset, time: str, plans: list[Plan], *, exact: bool = False) -> list[Computed]:
     """Results of all plans, in their order."""
     got = scalars(ds, time, [s for p in plans for s in slices(p)], exact=exact)
-    groups: dict[tuple, list] = {}
-    out = []
+    shared = lambda p: (p.measure, p.period, p.column, p.grain, p.descending, p.min_rows)
+    asked: dict[tuple, list[RankPlan]] = {}
     for p in plans:
         if isinstance(p, RankPlan):
-            key = (p.measure, p.period, p.column, p.grain, p.descending, p.min_rows)
-            if key not in groups:
-                groups[key] = ranking(ds, time, p, exact=exact)
-            out.append(ranked(p, groups[key], time))
-        else:
-            out.append(answer(p, [got[s] for s in slices(p)], time))
-    return out
+            asked.setdefault(shared(p), []).append(p)
+    groups = {k: ranking(V.groups(ds.df, time, ps[0], exact=exact), ps[0], sorted({p.key for p in ps})) for k, ps in asked.items()}
+    return [ranked(p, groups[shared(p)], time) if isinstance(p, RankPlan) else answer(p, [got[s] for s in slices(p)], time) for p in plans]

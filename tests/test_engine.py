@@ -29,7 +29,7 @@ def ds(spark):
 
 
 def point(**kw):
-    return PointValue(**{"id": "p", "span": "revenue 1", "metric": "revenue", "period": "2017", "value": 1.0} | kw)
+    return PointValue(**{"id": "p", "confidence": "high", "span": "revenue 1", "metric": "revenue", "period": "2017", "value": 1.0} | kw)
 
 
 def test_slices_and_nulls(ds):
@@ -134,6 +134,23 @@ def test_scan_is_pruned_and_filtered(spark):
     assert "o_orderpriority" not in plan and "PushedFilters: [Or(And(GreaterThanOrEqual" in plan and plan.count("FileScan") == 1 and "Join" not in plan
 
 
+@pytest.mark.parametrize("min_rows", [None, 2])
+@pytest.mark.parametrize("descending", [True, False])
+def test_rankings_are_the_same_with_few_and_with_many_groups(spark, min_rows, descending):
+    from claimcheck.model import Measure, Period, RankPlan
+    from claimcheck.plans import lowering
+
+    rows = [(f"g{k:02d}", None if k % 9 == 0 else float(k % 5), 1 + k % 3) for k in range(30)]
+    groups = spark.createDataFrame(rows, "key string, value double, n_rows long")
+    plan = RankPlan(Measure("count"), Period(date(2000, 1, 1), date(2001, 1, 1)), "c", None, descending, "", min_rows)
+    keys = [r[0] for r in rows] + ["absent"]
+    few, many = lowering.ranking(groups, plan, keys), lowering.ranking(groups, plan, keys, few=3)
+    assert few == many and "absent" not in few.ranks
+    fit = [r for r in rows if min_rows is None or r[2] >= min_rows]
+    before = lambda a, b: a is not None and (b is None or (a > b if descending else a < b))
+    assert few.ranks == {k: (1 + sum(before(o[1], v) for o in fit) if (k, v, n) in fit else None) for k, v, n in rows}
+
+
 def test_tokens_and_coverage():
     t = text.tokens("In 2017 sales of R$1,23,456.50 grew 12.5% to 3M units; v1.2 and 2017% x")
     assert [(x.text, x.value) for x in t] == [("R$1,23,456.50", 123456.5), ("12.5%", 12.5), ("3M", 3e6), ("2017%", 2017.0)]
@@ -216,8 +233,8 @@ def test_corruption_benchmark(ds):
     claims = [
         point(id="a", span="revenue was 2,376.00", value=2376.0),
         point(id="b", span="rio had 12 orders", metric="orders", subject="rio", value=12),
-        Growth(id="c", span="revenue grew 9.76% in February 2017", metric="revenue", period="2017-02", baseline_period="2017-01", value=90.91, direction="increase"),
-        Ranking(id="d", span="rio was second by revenue", metric="revenue", rank=1, rank_from="highest", group_by="state", subject="rio", period="2017"),
+        Growth(id="c", confidence="high", span="revenue grew 9.76% in February 2017", metric="revenue", period="2017-02", baseline_period="2017-01", value=90.91, direction="increase"),
+        Ranking(id="d", confidence="high", span="rio was second by revenue", metric="revenue", rank=1, rank_from="highest", group_by="state", subject="rio", period="2017"),
     ]
     claims[2] = claims[2].model_copy(update={"span": "revenue grew 90.91% in February 2017"})
     claims[3] = claims[3].model_copy(update={"span": "rio was first by revenue"})
