@@ -6,7 +6,7 @@ period is of whole months) and by the values asked for, with the union of the pe
 that reaches the source. What comes back is bounded by the calendar and the question, not by the
 data, and is added up on the driver, exactly. Where very many combinations of values are asked
 for, conditional aggregates in jobs of ``width`` do the same. Ranking plans that differ only in
-the asked key share one grouped job.
+the asked key are one ranking, and rankings of one dimension share one grouped job.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ WIDTH = 300
 COMBINATIONS, VALUES = 10_000, 500
 #: Groups of a ranking that may come to the driver.
 FEW_GROUPS = 10_000
+#: Rows (a group in a period) that may come where several rankings share a scan.
+MANY_GROUPS = 100_000
 
 
 def slices(plan: Plan) -> list[tuple[Measure, Slice]]:
@@ -98,11 +100,15 @@ def _reach(time: str, wanted: list[tuple[Measure, Slice]]) -> Column:
 
 def grouped_frame(ds: Dataset, time: str, wanted: list[tuple[Measure, Slice]], values: dict[str, list[str]], *, exact: bool = False) -> tuple[DataFrame, list[str]]:
     """day, d0, d1, ... (which of the asked values a row has), n, and u0, s0, ... of each measured column; and these columns."""
+    which = lambda column, asked: F.coalesce(*(F.when(M.quoted(column) == F.lit(v), F.lit(i)) for i, v in enumerate(asked)))
+    return rolled(ds, time, wanted, [which(c, asked).alias(f"d{k}") for k, (c, asked) in enumerate(values.items())], exact)
+
+
+def rolled(ds: Dataset, time: str, wanted: list[tuple[Measure, Slice]], by: list[Column], exact: bool) -> tuple[DataFrame, list[str]]:
+    """The rows of any asked period, added up by days (months, where every period is of whole months) and ``by``."""
     months = all(d.day == 1 for _, r in wanted for d in (r.period.start, r.period.end))
     t = M.quoted(time)
-    keys = [(F.date_trunc("month", t) if months else t).cast("date").alias("day")]
-    for k, (column, asked) in enumerate(values.items()):
-        keys.append(F.coalesce(*(F.when(M.quoted(column) == F.lit(v), F.lit(i)) for i, v in enumerate(asked))).alias(f"d{k}"))
+    keys = [(F.date_trunc("month", t) if months else t).cast("date").alias("day"), *by]
     columns = sorted({m.column for m, _ in wanted if m.column is not None})
     sums = {m.column for m, _ in wanted if m.agg != "count"}
     aggregates = [F.count(F.lit(1)).alias("n")]
@@ -200,6 +206,50 @@ def ranking(groups: DataFrame, plan: RankPlan, keys: list[str], *, few: int | No
     return Ranking(sums["n"], sums["g"], sums["all"] - sums["g"], top, {k: place[r["value"]] if k in ranked else None for k, r in mine.items()})
 
 
+def rankings(ds: Dataset, time: str, asked: dict[tuple, list[RankPlan]], *, exact: bool = False) -> dict[tuple, Ranking]:
+    """All rankings. Several of one dimension share a scan: it is added up by days and groups, and the periods meet that."""
+    out: dict[tuple, Ranking] = {}
+    by: dict[tuple, list[tuple]] = {}
+    for key, ps in asked.items():
+        by.setdefault((ps[0].column, ps[0].grain), []).append(key)
+    for keys in by.values():
+        if len(keys) > 2:
+            out |= _together(ds, time, {k: asked[k] for k in keys}, exact)
+    for key, ps in asked.items():
+        if key not in out:
+            out[key] = ranking(V.groups(ds.df, time, ps[0], exact=exact), ps[0], sorted({p.key for p in ps}))
+    return out
+
+
+def _together(ds: Dataset, time: str, asked: dict[tuple, list[RankPlan]], exact: bool) -> dict[tuple, Ranking]:
+    """Rankings of one dimension (or unit of time); none where there are too many groups for the driver."""
+    plans = [ps[0] for ps in asked.values()]
+    key = None if plans[0].grain else M.quoted(plans[0].column).cast("string").alias("key")
+    df, columns = rolled(ds, time, [(p.measure, Slice(p.period)) for p in plans], [] if key is None else [key], exact)
+    if key is None:
+        df = df.withColumn("key", F.date_trunc(plans[0].grain, "day").cast("date").cast("string"))
+    periods = sorted({p.period for p in plans}, key=lambda p: (p.start, p.end))
+    spans = df.sparkSession.createDataFrame([(i, p.start, p.end) for i, p in enumerate(periods)], "i int, start date, end date")
+    met = df.join(F.broadcast(spans), (F.col("day") >= F.col("start")) & (F.col("day") < F.col("end"))).where("key is not null")
+    added = [c for c in df.columns if c not in ("day", "key")]
+    rows = met.groupBy("i", "key").agg(*(F.sum(c).alias(c) for c in added)).limit(MANY_GROUPS + 1).collect()
+    if len(rows) > MANY_GROUPS:
+        return {}
+    found: dict[int, list] = {}
+    for r in rows:
+        found.setdefault(r["i"], []).append(r)
+    at = {c: k for k, c in enumerate(columns)}
+
+    def value(r, m: Measure) -> float | None:
+        used = r["n"] if m.column is None else r[f"u{at[m.column]}"]
+        if m.agg == "count":
+            return _rounded(float(used), m.round)
+        total = r[f"s{at[m.column]}"]
+        return None if total is None or not used else _rounded(float(total) if m.agg == "sum" else float(total) / used, m.round)
+
+    return {k: of_groups(ps[0], [(r["key"], value(r, ps[0].measure), r["n"]) for r in found.get(periods.index(ps[0].period), [])], sorted({p.key for p in ps})) for k, ps in asked.items()}
+
+
 def of_groups(plan: RankPlan, groups: list[tuple[str, float | None, int]], keys: list[str]) -> Ranking:
     """The same from (key, value, rows) of all groups, sorted once; groups of one value share a rank, those without one come last."""
     fit = [g for g in groups if plan.min_rows is None or g[2] >= plan.min_rows]
@@ -229,5 +279,5 @@ def execute(ds: Dataset, time: str, plans: list[Plan], *, exact: bool = False) -
     for p in plans:
         if isinstance(p, RankPlan):
             asked.setdefault(shared(p), []).append(p)
-    groups = {k: ranking(V.groups(ds.df, time, ps[0], exact=exact), ps[0], sorted({p.key for p in ps})) for k, ps in asked.items()}
+    groups = rankings(ds, time, asked, exact=exact)
     return [ranked(p, groups[shared(p)], time) if isinstance(p, RankPlan) else answer(p, [got[s] for s in slices(p)], time) for p in plans]

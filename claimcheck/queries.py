@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import measures as M
 from .model import AggregatePlan, ChangePlan, Config, Entity, Measure, Metric, Period, RankPlan, SharePlan, Slice
+from . import cases
 from .operators import batch, rewrite, summary, text
 from .operators import verification as V
 from .plans import lowering
@@ -259,6 +260,44 @@ def numeric_tokens(spark: SparkSession, d: str) -> DataFrame:
     return text.sweep(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "doc_id", "text")
 
 
+def claim_rejections(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as wire claims, with fields missing, foreign, out of range: why each is rejected."""
+    from .model import wire_fields
+    from .operators.claim_checks import rejections
+
+    k = F.col("o_orderkey")
+    pick = lambda by, *xs: F.element_at(F.array(*(F.lit(x) for x in xs)), (by % len(xs) + 1).cast("int"))
+    kind = pick(k, "point_value", "growth", "comparison", "ranking", "share", "guess", None)
+    set_ = {
+        "id": F.when(k % 11 == 3, "").otherwise(k.cast("string")),
+        "span": F.when(k % 13 == 5, F.lit(None)).otherwise(F.concat(F.lit("order "), k.cast("string"))),
+        "confidence": pick(F.floor(k / 3), "high", "low", "high", "medium", None),
+        "metric": F.when(k % 17 == 0, F.lit(None)).otherwise("revenue"),
+        "period": F.when(k % 2 == 0, "1997"),
+        "subject": F.when(k % 3 == 0, F.lit("urgent")),
+        "value": F.when(kind.isin("point_value", "growth", "comparison", "share") & (k % 5 > 0), F.when(k % 5 == 1, -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))),
+        "direction": F.when(kind.isin("growth", "comparison") | (k % 19 == 0), pick(F.floor(k / 2), "increase", "higher", "decrease", "worse", None)),
+        "rank": F.when(kind == "ranking", (k % 4).cast("int")),
+        "rank_from": F.when(kind == "ranking", pick(F.floor(k / 7), "highest", "top", None)),
+        "group_by": F.when(kind == "ranking", pick(F.floor(k / 5), "priority", "quarter", None)),
+    }
+    claims = _orders(spark, d).select(k, kind.alias("type"), *(set_.get(f, F.lit(None)).cast(t).alias(f) for f, t in wire_fields().items() if f != "type"))
+    return rejections(claims).select("o_orderkey", "rejected")
+
+
+def compile_rows(spark: SparkSession, d: str) -> DataFrame:
+    return cases.compile_rows(spark, CONFIG)
+
+
+def policy_rows(spark: SparkSession, d: str) -> DataFrame:
+    return cases.policy_rows(spark, CONFIG)
+
+
+def verdict_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship's claims by id: verdict, policy, computed value, reason."""
+    return verified_claims(spark, d).select("claim_id", "verdict", F.coalesce("policy", F.lit("")).alias("policy"), M.rounded(F.col("computed"), 6).alias("computed"), F.coalesce("abstain_reason", F.lit("")).alias("reason"))
+
+
 def verified_claims(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: claims of a report to verdicts."""
     from .claims import sample_claims
@@ -272,7 +311,7 @@ def verified_claims(spark: SparkSession, d: str) -> DataFrame:
 OWN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "agg_rounded_sum": _rounded("sum"),
     "agg_rounded_avg": _rounded("avg"),
-    **{f.__name__: f for f in (rank_ties, rank_null_value_last, rank_min_rows_inclusive, summary_national, summary_by_quarter_qoq, summary_by_entity_share_rank, inject_cell_invariance, row_pick_limit_offset, latency_percentiles, star_join_etl, shared_scan_batch, batch_verdicts, claim_dup_spans, span_overlap_candidates, numeric_tokens, verified_claims)},
+    **{f.__name__: f for f in (rank_ties, rank_null_value_last, rank_min_rows_inclusive, summary_national, summary_by_quarter_qoq, summary_by_entity_share_rank, inject_cell_invariance, row_pick_limit_offset, latency_percentiles, star_join_etl, shared_scan_batch, batch_verdicts, claim_dup_spans, span_overlap_candidates, numeric_tokens, verified_claims, claim_rejections, compile_rows, policy_rows, verdict_outcomes)},
 }
 
 _ROUNDED_SQL = "SELECT l_returnflag, l_linestatus, round({a}(l_extendedprice), 2) AS price, round({a}(l_discount), 2) AS discount, count(*) AS n_rows FROM lineitem GROUP BY 1, 2"
@@ -307,6 +346,65 @@ SELECT a.doc_id, count(*) AS pairs, CAST(sum(least(a.s + 40, b.s + 25) - greates
 }
 
 
+def _sql_tokens() -> str:
+    """Independent of the native form: texts are tiled by all chunks, places are running sums over tiles."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    c = text.LETTERS + ".,"
+    currency = "|".join(p.replace("$", r"\$") for p in text.PREFIXES)
+    scale = " ".join(f"WHEN {quoted(s)} THEN {by}" for s, by in text.SCALES.items())
+    return rf"""
+WITH t AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[^{c}]*[{c}]+')) AS tile, generate_subscripts(regexp_extract_all(text, '[^{c}]*[{c}]+'), 1) AS k FROM documents),
+p AS (SELECT doc_id, text, regexp_extract(tile, '[{c}]+$') AS chunk, CAST(sum(length(tile)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS stop FROM t),
+b AS (SELECT *, stop - length(chunk) AS begin, regexp_extract(chunk, '{text.BODY}', 1) AS number, regexp_extract(chunk, '{text.BODY}', 2) AS scale FROM p WHERE regexp_matches(chunk, '{text.BODY}')),
+s AS (SELECT *, regexp_extract(substring(text, greatest(begin - 3, 1), least(begin, 4)), '(?:^|[^{c}])({currency})$', 1) AS currency,
+      CASE WHEN scale = '' AND number = chunk AND substring(text, stop + 1, 1) = '%' AND NOT regexp_matches(substring(text, stop + 2, 1), '[{text.LETTERS}]') THEN '%' ELSE scale END AS suffix FROM b),
+f AS (SELECT *, currency || number || suffix AS said, begin + length(number) + length(suffix) AS e FROM s WHERE NOT (currency = '' AND suffix = '' AND regexp_matches(number, '^(19|20)[0-9][0-9]$')))
+SELECT doc_id, said AS text, CAST(begin - length(currency) AS INTEGER) AS start, CAST(e AS INTEGER) AS "end",
+       said || CASE WHEN regexp_matches(substring(text, e + 1, 400), '^[\s\p{{Z}}]+[A-Za-z]') THEN ' ' || regexp_extract(substring(text, e + 1, 400), '^[\s\p{{Z}}]+([A-Za-z]+)', 1) ELSE '' END AS context,
+       CAST(replace(number, ',', '') AS DOUBLE) * CASE suffix {scale} ELSE 1.0 END AS value FROM f
+"""
+
+
+def _sql_rejections() -> str:
+    at = lambda by, *xs: f"([{', '.join('NULL' if x is None else repr(x) for x in xs)}])[{by} % {len(xs)} + 1]"
+    return f"""
+WITH c AS (SELECT o_orderkey AS k, o_totalprice, {at('o_orderkey', 'point_value', 'growth', 'comparison', 'ranking', 'share', 'guess', None)} AS type FROM orders),
+w AS (SELECT k, type, k % 11 <> 3 AS has_id, k % 13 <> 5 AS has_span, {at('(k // 3)', 'high', 'low', 'high', 'medium', None)} AS confidence, k % 17 <> 0 AS has_metric, k % 3 = 0 AS has_subject,
+      CASE WHEN type IN ('point_value', 'growth', 'comparison', 'share') AND k % 5 > 0 THEN CASE WHEN k % 5 = 1 THEN -o_totalprice ELSE o_totalprice END END AS value,
+      CASE WHEN type IN ('growth', 'comparison') OR k % 19 = 0 THEN {at('(k // 2)', 'increase', 'higher', 'decrease', 'worse', None)} END AS direction,
+      k % 4 AS rank, {at('(k // 7)', 'highest', 'top', None)} AS rank_from, {at('(k // 5)', 'priority', 'quarter', None)} AS group_by FROM c)
+SELECT k AS o_orderkey, CASE WHEN type IS NULL OR type = 'guess' THEN 'unknown_type'
+  WHEN type NOT IN ('growth', 'comparison') AND direction IS NOT NULL THEN 'foreign_field'
+  WHEN NOT has_id OR NOT has_span OR NOT has_metric OR confidence IS NULL OR confidence = 'medium' THEN 'invalid_claim'
+  WHEN type = 'growth' AND (value < 0 OR direction IS NULL OR direction NOT IN ('increase', 'decrease')) THEN 'invalid_claim'
+  WHEN type = 'comparison' AND (value < 0 OR direction IS NULL OR direction NOT IN ('higher', 'worse')) THEN 'invalid_claim'
+  WHEN type = 'ranking' AND (rank < 1 OR rank_from = 'top' OR group_by IS NULL) THEN 'invalid_claim'
+  WHEN type = 'share' AND NOT has_subject THEN 'invalid_claim' END AS rejected FROM w
+"""
+
+
+#: The flagship's claims in SQL: what each states, and what the tables say.
+_OUTCOMES_SQL = """
+WITH y AS (SELECT year(o_orderdate) AS y, quarter(o_orderdate) AS q, o_orderpriority AS p, o_totalprice AS x FROM orders),
+r AS (SELECT round(sum(x) FILTER (WHERE y = 1997), 2) AS now, round(sum(x) FILTER (WHERE y = 1996), 2) AS before, CAST(count(*) FILTER (WHERE y = 1997) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE y = 1996) AS DOUBLE) AS n_before,
+      100.0 * count(*) FILTER (WHERE y = 1997 AND p = '1-URGENT') / count(*) FILTER (WHERE y = 1997) AS share FROM y),
+q AS (SELECT rank() OVER (ORDER BY round(sum(x), 2) DESC) AS k, q FROM y WHERE y = 1997 GROUP BY q),
+p AS (SELECT rank() OVER (ORDER BY round(sum(x), 2) DESC) AS k, p FROM y WHERE y = 1997 GROUP BY p),
+v AS (SELECT 'c1' AS claim_id, 'point' AS kind, 573455982.34 AS stated, 2 AS places, now AS computed, true AS up FROM r
+  UNION ALL SELECT 'c2', 'point', 573455983.34, 2, now, true FROM r UNION ALL SELECT 'c3', 'point', 2279, 0, n, true FROM r
+  UNION ALL SELECT 'c4', 'change', 2.44, 2, 100.0 * (now - before) / before, true FROM r UNION ALL SELECT 'c5', 'change', 2.44, 2, 100.0 * (now - before) / before, false FROM r
+  UNION ALL SELECT 'c6', 'direction', NULL, NULL, n - n_before, true FROM r
+  UNION ALL SELECT 'c7', 'rank', 1, NULL, CAST(k AS DOUBLE), true FROM q WHERE q = 3 UNION ALL SELECT 'c8', 'rank', 1, NULL, CAST(k AS DOUBLE), true FROM p WHERE p = '1-URGENT'
+  UNION ALL SELECT 'c9', 'point', 20.1, 1, share, true FROM r),
+j AS (SELECT *, kind IN ('change', 'direction') AND NOT (CASE WHEN up THEN computed > 0 ELSE computed < 0 END) AS turned,
+      abs(CAST(stated AS DECIMAL(38,9)) - CAST(CASE WHEN kind = 'change' THEN abs(computed) ELSE computed END AS DECIMAL(38,9))) * 2 <= CAST(power(10, -places) AS DECIMAL(38,9)) AS near FROM v)
+SELECT claim_id, CASE WHEN turned THEN 'FAIL' WHEN kind = 'direction' THEN 'PASS' WHEN kind = 'rank' THEN CASE WHEN stated = computed THEN 'PASS' ELSE 'FAIL' END WHEN near THEN 'PASS' ELSE 'FAIL' END AS verdict,
+       CASE WHEN turned OR kind = 'direction' THEN 'direction' WHEN kind = 'rank' THEN 'rank' ELSE 'half_ulp' END AS policy, round(computed, 6) AS computed, '' AS reason FROM j
+UNION ALL SELECT * FROM (VALUES ('c10', 'UNVERIFIABLE', '', CAST(NULL AS DOUBLE), 'schema_gap'), ('c11', 'UNVERIFIABLE', '', NULL, 'ambiguous'), ('c12', 'UNVERIFIABLE', '', NULL, 'no_data')) AS u(claim_id, verdict, policy, computed, reason)
+"""
+SQL |= {"numeric_tokens": _sql_tokens(), "claim_rejections": _sql_rejections(), "compile_rows": cases.COMPILE_SQL, "policy_rows": cases.POLICY_SQL, "verdict_outcomes": _OUTCOMES_SQL}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {**{k: _plan(p, _orders) for k, p in PLANS.items()}, **{k: _plan(p, _holes) for k, p in HOLED.items()}, **OWN}
 

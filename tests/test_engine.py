@@ -151,6 +151,20 @@ def test_rankings_are_the_same_with_few_and_with_many_groups(spark, min_rows, de
     assert few.ranks == {k: (1 + sum(before(o[1], v) for o in fit) if (k, v, n) in fit else None) for k, v, n in rows}
 
 
+def test_rankings_that_share_a_scan_are_the_same(ds):
+    claims = []
+    for m in ("revenue", "orders"):
+        for i, p in enumerate(("2017", "2017-01", "2017-02", "2017-03 to 2017-05", "2017-01-10 to 2017-02-03")):
+            for s in ("rio", "SP"):
+                claims.append(Ranking(id=f"{m}{i}{s}", confidence="high", span=m, metric=m, rank=1, rank_from=("highest", "lowest")[i % 2], group_by="state", subject=s, period=p))
+        for q in ("2017 Q1", "2017 Q2"):
+            for scope in ("2017", "2017-01 to 2017-06", "2016-07 to 2017-06"):
+                claims.append(Ranking(id=f"{m}{q}{scope}", confidence="high", span=m, metric=m, rank=1, rank_from="highest", group_by="quarter", period=q, scope=scope))
+    together = verify_claims(ds, claims, CFG)
+    assert [(v.verdict, v.computed, v.row_counts, v.detail) for v in together] == [(v.verdict, v.computed, v.row_counts, v.detail) for v in (verify_claims(ds, [c], CFG)[0] for c in claims)]
+    assert len({v.verdict for v in together}) > 1
+
+
 def test_tokens_and_coverage():
     t = text.tokens("In 2017 sales of R$1,23,456.50 grew 12.5% to 3M units; v1.2 and 2017% x")
     assert [(x.text, x.value) for x in t] == [("R$1,23,456.50", 123456.5), ("12.5%", 12.5), ("3M", 3e6), ("2017%", 2017.0)]
@@ -187,6 +201,70 @@ def test_claims_are_rejected_not_repaired():
     assert set(wire_schema()["items"]["required"]) == set(wire_struct().names) and parse_one(ok).value == 1.0
 
 
+def test_native_rejections_agree_with_the_driver(spark):
+    from claimcheck.model import wire_fields
+    from claimcheck.operators.claim_checks import rejections
+
+    good = {
+        "point_value": {"value": 1.0},
+        "growth": {"value": 1.0, "direction": "increase"},
+        "comparison": {"value": None, "direction": "worse"},
+        "ranking": {"rank": 1, "group_by": "state"},
+        "share": {"value": None, "subject": "SP"},
+    }
+    base = {k: None for k in wire_fields()} | {"id": "1", "span": "s", "confidence": "low", "metric": "m"}
+    rows = [base | {"type": t} | own for t, own in good.items()]
+    for t, own in good.items():
+        for f in wire_fields():
+            for x in {"value": (-1.0, 2.0), "rank": (0, 3)}.get(f, ("", "high", "medium", "increase", "better", "best", "top", None)):
+                if f != "type":
+                    rows.append(base | {"type": t} | own | {f: x})
+    rows += [base | {"type": x} for x in (None, "guess")]
+    schema = ", ".join(f"{k} {t}" for k, t in wire_fields().items())
+    got = [r["rejected"] for r in rejections(spark.createDataFrame([tuple(r.values()) for r in rows], schema)).collect()]
+    want = [getattr(parse_one(r), "reason", None) for r in rows]
+    assert got == want and set(want) == {None, "unknown_type", "foreign_field", "invalid_claim"}
+    # keys that must be stated are not filled in
+    for key in ("id", "span", "confidence", "metric", "period", "value"):
+        raw = {k: v for k, v in (rows[0] | {"period": None}).items() if k != key}
+        assert parse_one(raw).reason == "invalid_claim"
+    assert parse_one(rows[0] | {"id": ""}).reason == parse_one(rows[0] | {"confidence": "medium"}).reason == "invalid_claim"
+
+
+def test_figures_against_one_expression(spark):
+    """The scanner's steps, on the driver and native, against the grammar as a single expression."""
+    import random
+    import re
+
+    prefix = "|".join(map(re.escape, text.PREFIXES))
+    whole = re.compile(rf"(?<![\w.,])({prefix})?([0-9]{{1,3}}(?:,[0-9]{{2,3}})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?)(%|bn|mn|[KMB])?(?!\w)")
+
+    def plain(t):
+        out = []
+        for m in whole.finditer(t):
+            if m[1] or m[3] or not re.fullmatch("(19|20)[0-9]{2}", m[2]):
+                after = re.match(r"\s+([A-Za-z]+)", t[m.end() :])
+                out.append((m[0], m.start(), m.end(), m[0] + (" " + after[1] if after else ""), float(m[2].replace(",", "")) * text.SCALES.get(m[3], 1.0)))
+        return out
+
+    rng = random.Random(5)
+    parts = ["1", "2", "0", "1997", "2,345", "12", "345", ",", ".", "%", "K", "M", "bn", "mn", "B", "b", "$", "US", "R", "€", "x", " ", " ", "\n", "é", "_", "units", "-", "("]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    assert [[tuple(x) for x in text.tokens(t)] for t in texts] == [plain(t) for t in texts]
+    rows = {}
+    for r in text.sweep(spark.createDataFrame([*enumerate(texts), (-1, None), (-2, "")], "doc_id long, text string"), "doc_id", "text").collect():
+        rows.setdefault(r["doc_id"], []).append((r["text"], r["start"], r["end"], r["context"], r["value"]))
+    assert {k: sorted(v, key=lambda x: x[1]) for k, v in rows.items()} == {k: v for k, t in enumerate(texts) if (v := plain(t))}
+
+
+def test_spans_meet_by_buckets(spark):
+    a = [(d, k, k * 37, k * 37 + n) for d in (1, 2) for k, n in enumerate((0, 5, 300, 1, 40, 900, 128, 2))]
+    b = [(d, k, k * 61, k * 61 + n) for d in (2, 3) for k, n in enumerate((3, 500, 0, 10, 128, 64))]
+    got = text.overlaps(spark.createDataFrame(a, "doc_id int, a_id int, a_s int, a_e int"), spark.createDataFrame(b, "doc_id int, b_id int, b_s int, b_e int")).collect()
+    want = [(x[0], x[1], y[1], min(x[3], y[3]) - max(x[2], y[2])) for x in a for y in b if x[0] == y[0] and x[2] < y[3] and y[2] < x[3]]
+    assert sorted((r["doc_id"], r["a_id"], r["b_id"], r["shared"]) for r in got) == sorted(want)
+
+
 def test_recordings():
     rec = RecordingClient.keys("m", "p", "t", wire_schema()) | {"responses": ["[", "[]"]}
     assert ask(RecordingClient(rec), "p", "t") == []
