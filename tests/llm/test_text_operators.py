@@ -96,7 +96,7 @@ def family(rng, base, n, edits):
     return out
 
 
-@pytest.mark.parametrize("k, tile", [(2, 512), (5, 512), (2, 7)])
+@pytest.mark.parametrize("k, tile", [(2, 400_000), (5, 400_000), (2, 500)])
 def test_near_duplicates(spark, k, tile):
     rng = np.random.default_rng(5)
     texts = [None, "", "  ", "a", "a", "A", "a b", "b a", " ".join(f"w{i}" for i in range(3000)), " ".join(f"w{i}" for i in range(3010))]
@@ -119,6 +119,53 @@ def test_near_duplicates_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3] and kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
 
 
+def test_pairs_that_meet_no_smallest_are_found(spark, monkeypatch):
+    """With one register to a band most buckets are mixed: the second step does the work, on tiles of any size."""
+    monkeypatch.setattr(neardup, "MEMBERS", 3)
+    rng = np.random.default_rng(11)
+    texts = []
+    for size in (60, 60, 80):
+        base = " ".join(f"v{x}" for x in rng.integers(0, 10**6, size))
+        texts += family(rng, base, 9, 3) + family(rng, base, 9, 12)
+    # a chain: each is like the next only
+    words = [f"c{x}" for x in range(160)]
+    texts += [" ".join(words[4 * i : 4 * i + 90]) for i in range(17)]
+    rows = [(int(i), t) for i, t in enumerate(texts)]
+    want = {i: c for i, (_, c) in classes(rows, 2).items()}
+    for tile in (400_000, 300):
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(spark, rows), shingle=2, tile=tile, bands=60, rows=1).collect()}
+        assert got == want
+
+
+def test_a_large_family_is_linear_in_the_shuffle(spark):
+    """Of n near copies each text goes out once, beside the smallest one's for every MEMBERS."""
+    rng = np.random.default_rng(12)
+    base = " ".join(f"v{x}" for x in range(40))
+    rows = [(i, t) for i, t in enumerate(family(rng, base, 3000, 1))]
+    made = []
+    plain = neardup._star_links
+
+    def spied(x, *a):
+        made.append(x.count())
+        return plain(x, *a)
+
+    neardup._star_links, tiles = spied, neardup._tile_links
+    neardup._tile_links = lambda *a: made.append("tiles") or tiles(*a)
+    try:
+        got = neardup.near_duplicates(docs(spark, rows), shingle=2).collect()
+    finally:
+        neardup._star_links, neardup._tile_links = plain, tiles
+    assert {r["component_id"] for r in got} == {0} and len(made) == 1 and made[0] <= 3000 * 1.2
+
+
+def test_one_row_of_a_repeated_document_stays(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (2, "a b c"), (3, "x y"), (3, None), (None, "a b c"), (None, "a b c"), (4, None), (5, None)]
+    got = neardup.drop_near_duplicates(docs(spark, rows), shingle=2)
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, "a b c"), (3, None), (None, "a b c"), (None, "a b c"), (4, None), (5, None)], key=str)
+    clash = spark.createDataFrame([(1, "a b", 7), (2, "a b", 8)], "doc_id long, text string, __id long").withColumnRenamed("__id", "kept")
+    assert [tuple(r) for r in neardup.drop_near_duplicates(clash, shingle=2).collect()] == [(1, "a b", 7)]
+
+
 def test_likelihood_and_registers():
     rng = np.random.default_rng(1)
     for j, reach in ((0.9, True), (0.4, False)):
