@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -25,10 +26,12 @@ LOWER[0x41:0x5B] += 32
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only where that is unset (tests, one machine) a temporary folder is used.
+    Only where that is unset and Spark runs in one process (tests, a bench) a temporary folder is used.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="checkpoint-")
         shared_folder.own = found
     return found
@@ -38,6 +41,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
@@ -241,20 +252,20 @@ def local_links(match: np.ndarray) -> list[tuple[int, int]]:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of an edge, component the smallest reachable node.
 
-    Alternating large-star and small-star steps. A round is two partially aggregated
-    minima and two joins that can be split where a node has very many edges; each round is
-    written to the shared folder. Only two sums reach the driver. Edges with null or equal
+    Alternating large-star and small-star steps, until each node has one edge, to a node that has
+    none itself. A round is two partially aggregated minima and two joins that can be split where a
+    node has very many edges; each round is written to the shared folder. Only a count reaches the
+    driver. Edges with null or equal
     ends are left out; an empty input gives an empty result.
     """
     kind = edges.schema[a].dataType
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"`{a}` != `{b}`").where("u is not null and v is not null").distinct()
     e = written(e, "edges")
-    seen = None
-    for _ in range(100):
-        sums = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if tuple(sums) == seen or sums[0] == 0:
+    while True:
+        several = e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
+        between = e.select("u").join(e.select(F.col("v").alias("u")), "u", "left_semi")
+        if several.union(between).agg(F.count(F.lit(1))).first()[0] == 0:
             break
-        seen = tuple(sums)
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
         large = e.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).where("u > v").distinct()

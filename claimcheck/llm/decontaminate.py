@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import from_parts, lean, parts, small_batches, steps, strings, words_of
+from .common import from_parts, lean, parts, small_batches, steps, strings, unused, words_of
 
 #: Bytes of words stay (A-Z as a-z), all others become a space: 0-9, a-z and everything from 0x80.
 WORD_BYTES = np.full(256, 0x20, np.uint8)
@@ -159,7 +159,7 @@ def contaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 8,
-    max_index_words: int = 2_000_000,
+    max_index_words: int = 500_000,
     into: str = "contamination",
     keep: list[str] | None = None,
 ) -> DataFrame:
@@ -168,7 +168,8 @@ def contaminated(
     ``items`` are the ids (as strings, sorted) of the items that have an occurring window,
     ``spans`` the maximal runs [start, end) of hit words. Null or empty text has no words.
     Items with null id or text have no window; items of one id count once; equal windows of
-    several items report them all. Repeated rows are answered one by one. A column already
+    several items report them all. Repeated rows are answered one by one; of a window's words that are
+    equally rare the first in order is probed; very long texts are read whole; an empty table gives no rows. A column already
     named ``into`` is replaced.
     """
     spark = documents.sparkSession
@@ -231,9 +232,14 @@ def contaminated(
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, min_items: int = 1, **options) -> DataFrame:
-    """The documents, unchanged, that hold windows of fewer than ``min_items`` items."""
-    found = contaminated(documents, benchmark, into="_contamination", **options)
-    return found.where(F.size("_contamination.items") < min_items).drop("_contamination")
+    """The documents, all columns unchanged, that hold windows of fewer than ``min_items`` items.
+
+    Null and empty texts hold none and stay; repeated rows are judged one by one; an empty benchmark
+    lets all pass.
+    """
+    into = unused(documents, "contamination")
+    found = contaminated(documents, benchmark, into=into, **options)
+    return found.where(F.size(f"{into}.items") < min_items).drop(into)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

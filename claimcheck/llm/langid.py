@@ -33,6 +33,7 @@ UNKNOWN = "und"
 SAMPLE_ROWS = 2000
 #: Rows of each label at least, however many labels there are.
 LABEL_ROWS = 20
+SALTS = 64
 STEP = 1 << 20
 
 
@@ -152,9 +153,10 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     if not labels:
         return fit(np.zeros((0, SIZE), np.float32), [])
     quota = max(LABEL_ROWS, sample_rows // labels)
-    # ranked by label without the texts; Spark keeps at most a quota of each label in a task before the shuffle
-    order = Window.partitionBy("lang").orderBy("h", F.coalesce("k", F.lit("")))
-    last = rows.select("lang", "h", "k").withColumn("r", F.row_number().over(order)).where(F.col("r") <= quota).groupBy("lang").agg(F.max(F.struct("h", F.coalesce("k", F.lit("")).alias("k"))).alias("last"))
+    # ranked by label without the texts, a label first in SALTS parts, for one may hold most rows
+    order = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", F.coalesce("k", F.lit(""))))
+    some = rows.select("lang", "h", "k", F.pmod("h", F.lit(SALTS)).alias("s")).withColumn("r", order("lang", "s")).where(F.col("r") <= quota)
+    last = some.withColumn("r", order("lang")).where(F.col("r") <= quota).groupBy("lang").agg(F.max(F.struct("h", F.coalesce("k", F.lit("")).alias("k"))).alias("last"))
     at = F.struct(F.col("h"), F.coalesce("k", F.lit("")).alias("k"))
     chosen = rows.join(F.broadcast(last), "lang").where(at <= F.col("last"))
 

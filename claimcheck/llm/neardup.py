@@ -299,15 +299,15 @@ def near_duplicates(
     in_part = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
     rest = pairs.join(one, ["rep", "low"], "left_anti").join(in_part("rep"), "rep", "left").join(in_part("low"), "low", "left")
     rest = written(rest.where(F.coalesce("rep_part", "rep") != F.coalesce("low_part", "low")).select("rep", "low"), "rest")
-    if not rest.isEmpty():
-        links = confirmed(rest, rest.count())
+    if left := rest.count():
+        links = confirmed(rest, left)
         parts = written(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "parts")
     # then, pairs of other buckets that are still apart
     apart = met.where("many > 2").select("key", "rep", "n").join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     mixed = apart.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first != last").select("key", "first")
     apart = written(apart.join(mixed, "key").select("rep", "n", "comp", "first").distinct(), "apart")
     more = links.limit(0)
-    if not apart.isEmpty():
+    if apart.count():
         family = written(components(apart.select(F.col("comp").alias("a"), F.col("first").alias("b"))), "family").select(F.col("node").alias("comp"), F.col("component").alias("family"))
         placed, tiles = _tile_pairs(written(apart.select("rep", "n", "comp").distinct().join(family, "comp"), "members"), tile)
         compared = tiles.select(F.xxhash64("a", "b").alias("pair"), F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"))
@@ -335,7 +335,7 @@ def drop_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_c
     gone = found.where("not kept").select("__id").distinct()
     kept = documents.join(gone, documents[id_col].eqNullSafe(gone["__id"]), "left_anti")
     again = found.where("__id is not null").groupBy("__id").count().where("count > 1").select("__id")
-    if again.isEmpty():
+    if not again.agg(F.count(F.lit(1))).first()[0]:
         return kept
     names = [F.col(f"`{c}`") for c in documents.columns]
     first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
