@@ -42,6 +42,7 @@ BASE, RATE = 1.001, 20.0
 MARGIN = 0.14
 #: Shingles of a tile, members that meet one document in a task.
 TILE, MEMBERS = 400_000, 512
+SALTS = 16
 BITMAP = 1 << 22
 
 
@@ -304,8 +305,11 @@ def near_duplicates(
         parts = written(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "parts")
     # then, pairs of other buckets that are still apart
     apart = met.where("many > 2").select("key", "rep", "n").join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    mixed = apart.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first != last").select("key", "first")
-    apart = written(apart.join(mixed, "key").select("rep", "n", "comp", "first").distinct(), "apart")
+    mixed = apart.select("key", "comp").distinct().groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first != last").select("key", "first")
+    # a bucket may hold very many: its row is repeated, its members are dealt over the repeats
+    salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")
+    mixed = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    apart = written(apart.withColumn("salt", salt).join(mixed, ["key", "salt"]).select("rep", "n", "comp", "first").distinct(), "apart")
     more = links.limit(0)
     if apart.count():
         family = written(components(apart.select(F.col("comp").alias("a"), F.col("first").alias("b"))), "family").select(F.col("node").alias("comp"), F.col("component").alias("family"))
