@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from ..model import Claim
+from typing import Any
+
+from ..model import Claim, Config, Verdict
 from ..operators.text import occurrences
-from ..vocabulary import norm
+from ..periods import PeriodError, parse_period
+from ..vocabulary import entity_index, metric_index, norm
 
 BOUND = ("type", "metric", "subject", "period", "value", "direction", "baseline_period", "rank", "rank_from", "group_by", "scope")
 
@@ -28,15 +31,33 @@ class Score:
         n = len(self.pairs) + len(self.spurious)
         return len(self.pairs) / n if n else 1.0
 
-    def bindings(self) -> dict[str, tuple[int, int]]:
-        """Per field, how many matched pairs agree and how many state it."""
+    def bindings(self, config: Config | None = None) -> dict[str, tuple[int, int]]:
+        """Per field, how many matched pairs agree and how many state it; words are resolved through a configuration, if there is one."""
+        index = {"metric": metric_index(config), "subject": entity_index(config)} if config else {}
+
+        def meant(field_: str, said: Any) -> Any:
+            if not isinstance(said, str):
+                return said
+            if field_ in ("period", "baseline_period", "scope"):
+                try:
+                    return parse_period(said)
+                except PeriodError:
+                    return norm(said)
+            return index.get(field_, {}).get(norm(said), norm(said))
+
         out = {}
         for f in BOUND:
-            stated = [(getattr(a, f, None), getattr(b, f, None)) for a, b in self.pairs if getattr(a, f, None) is not None or getattr(b, f, None) is not None]
-            same = lambda x, y: norm(x) == norm(y) if isinstance(x, str) and isinstance(y, str) else x == y
-            out[f] = (sum(same(x, y) for x, y in stated), len(stated))
+            both = [(getattr(a, f, None), getattr(b, f, None)) for a, b in self.pairs]
+            stated = [pair for pair in both if pair != (None, None)]
+            out[f] = (sum(meant(f, x) == meant(f, y) for x, y in stated), len(stated))
         return out
 
+    def agreement(self, expected: dict[str, str], verdicts: list[Verdict]) -> tuple[int, int]:
+        """(matched labels whose claim got the label's verdict, matched labels with one); ``expected`` by label id, verdicts by claim id."""
+        got = {v.claim_id: v.verdict for v in verdicts}
+        judged = [(expected[a.id], got.get(b.id)) for a, b in self.pairs if a.id in expected]
+        return sum(x == y for x, y in judged), len(judged)
+
 
 def score(text: str, labels: list[Claim], found: list[Claim]) -> Score:
     """Labels whose span overlaps a claim that another label took are merged, the rest is missed; unmatched claims are spurious."""

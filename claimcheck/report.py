@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -98,8 +99,9 @@ def to_text(run: RunRecord) -> str:
     return "\n".join("  ".join(x[:w].ljust(w) for x, w in zip(r, widths)).rstrip() for r in rows) + "\n"
 
 
-def segments(text: str, spans: dict[str, str]) -> list[tuple[str, str | None]]:
-    """The text once, whole, cut where the innermost (shortest) span changes: (piece, claim id or None)."""
+def segments(text: str, spans: dict[str, str], left: dict[int, int] | None = None) -> list[tuple[str, str | None]]:
+    """The text once, whole, cut where the innermost (shortest) span changes and around places in ``left`` (start: end): (piece, claim id or None)."""
+    cuts = {x for place in (left or {}).items() for x in place}
     owner: list[str | None] = [None] * len(text)
     for key, span in sorted(spans.items(), key=lambda x: (-len(x[1]), x[0])):
         for s, e in occurrences(text, span):
@@ -107,7 +109,7 @@ def segments(text: str, spans: dict[str, str]) -> list[tuple[str, str | None]]:
     out: list[tuple[str, str | None]] = []
     start = 0
     for k in range(1, len(text) + 1):
-        if k == len(text) or owner[k] != owner[start]:
+        if k == len(text) or owner[k] != owner[start] or k in cuts:
             out.append((text[start:k], owner[start]))
             start = k
     return out
@@ -120,7 +122,14 @@ SCRIPT = "var m=[].slice.call(document.querySelectorAll('mark')),i=-1;function g
 def to_html(run: RunRecord, text: str) -> str:
     """One self-contained page: the report with its claims marked, and the evidence of each. Keys j and k step through."""
     by = {v.claim_id: v for v in run.verdicts}
-    body = "".join(f'<mark class="{by[k].verdict}" data-id="{html.escape(k)}">{html.escape(piece)}</mark>' if k in by else html.escape(piece) for piece, k in segments(text, {c.id: c.span for c in run.extraction.claims}))
+    left = {t.start: t.end for t in run.extraction.unextracted}
+    body, at = "", 0
+    for piece, k in segments(text, {c.id: c.span for c in run.extraction.claims}, left):
+        if k in by:
+            body += f'<mark class="{by[k].verdict}" data-id="{html.escape(k)}">{html.escape(piece)}</mark>'
+        else:  # figures that no claim accounts for are marked as such
+            body += f'<u title="in no claim">{html.escape(piece)}</u>' if at in left else html.escape(piece)
+        at += len(piece)
     drawers = "".join(
         f'<details id="e-{html.escape(v.claim_id)}"><summary class="{v.verdict}">{html.escape(v.claim_id)}: {v.verdict} {html.escape(v.abstain_reason or v.policy)}</summary>'
         f"<p>claimed {number(v.claimed) or '-'}, computed {number(v.computed) or '-'}. {html.escape(v.detail)}</p><pre>{html.escape(display(v.sql, v.params))}</pre><p>{html.escape(str(dict(v.row_counts)))}</p></details>"
@@ -152,12 +161,16 @@ def stub(verdicts: list[Verdict]) -> str:
     metrics = sorted({v.token for v in verdicts if v.row == "M2" and v.token})
     entities = sorted({v.token for v in verdicts if v.row in ("E4", "G3") and v.token})
     polarity = sorted({v.token for v in verdicts if v.row in ("D4", "G9") and v.token})
+    unnamed = sorted({v.token for v in verdicts if v.row == "M3" and v.token} - set(polarity))
+    elsewhere = sorted({v.token for v in verdicts if v.row == "G5" and v.token} - set(entities))
     out: dict[str, Any] = {}
     for m in metrics:
         out.setdefault("metrics", {})[m] = {"agg": "sum", "column": "TODO"}
     for m in polarity:
         out.setdefault("metrics", {})[m] = {"polarity": "TODO: higher_is_better or lower_is_better"}
-    for e in entities:
+    for m in unnamed:
+        out.setdefault("metrics", {}).setdefault(m, {})["aliases"] = ["TODO: the report's own words for it"]
+    for e in [*entities, *elsewhere]:
         out.setdefault("entities", {})["TODO"] = {"column": "TODO", "aliases": {**out.get("entities", {}).get("TODO", {}).get("aliases", {}), e: "TODO"}}
     return yaml.safe_dump(out, allow_unicode=True, sort_keys=False) if out else ""
 
@@ -165,10 +178,10 @@ def stub(verdicts: list[Verdict]) -> str:
 def template(columns: dict[str, str], path: str) -> str:
     """A configuration to start from: averages carry min_rows, text columns that look like keys are left out."""
     time = next((c for c, t in columns.items() if t.startswith(("date", "timestamp"))), "TODO")
-    lines = [f"dataset: {json.dumps(path)}", f"time_column: {json.dumps(time)}", "metrics:", "  rows:", "    agg: count", "    aliases: []"]
+    lines = [f"dataset: {json.dumps(path)}", f"time_column: {json.dumps(time)}", "metrics:", "  rows:", "    agg: count", "    aliases: []  # words of reports that name it", "  share_of_rows:", "    agg: share", "    aliases: []"]
     for c, t in columns.items():
         if t.split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal") and not _key_like(c):
-            lines += [f"  {json.dumps('total_' + c)}:", "    agg: sum", f"    column: {json.dumps(c)}", f"  {json.dumps('avg_' + c)}:", "    agg: avg", f"    column: {json.dumps(c)}", "    min_rows: 30"]
+            lines += [f"  {json.dumps('total_' + c)}:", "    agg: sum", f"    column: {json.dumps(c)}", "    aliases: []", *(["    round: 2"] if t.split("(")[0] in ("float", "double", "decimal") else []), "    # polarity: higher_is_better", f"  {json.dumps('avg_' + c)}:", "    agg: avg", f"    column: {json.dumps(c)}", "    aliases: []", "    # polarity: higher_is_better", "    min_rows: 30"]
     dims = [c for c, t in columns.items() if t == "string" and not _key_like(c)]
     lines += ["entities:" if dims else "entities: {}"]
     for c in dims:
@@ -182,8 +195,20 @@ def _key_like(column: str) -> bool:
 
 
 def graded(run: RunRecord) -> dict[str, Any]:
-    """An assertion result: the share of decided claims that pass; a system error never passes."""
+    """An assertion result: the share of decided claims that pass, the claims that fail in lines of their own; a system error never passes."""
     n = run.counts()
+    spans = {c.id: c.span for c in run.extraction.claims}
     decided = n["PASS"] + n["FAIL"]
     error = any(v.policy == "error" for v in run.verdicts)
-    return {"pass": not error and n["FAIL"] == 0, "score": n["PASS"] / decided if decided else 0.0, "reason": "system error" if error else f"{n['PASS']} passed, {n['FAIL']} failed, {n['UNVERIFIABLE']} could not be checked", "namedScores": {k.lower(): v for k, v in n.items()}}
+    return {"pass": not error and n["FAIL"] == 0, "score": n["PASS"] / decided if decided else 0.0, "reason": "system error" if error else "\n".join([f"{n['PASS']} passed, {n['FAIL']} failed, {n['UNVERIFIABLE']} could not be checked", *(f"FAIL {v.claim_id}: {spans.get(v.claim_id, '')!r}: {v.detail}" for v in run.verdicts if v.verdict == "FAIL")]), "namedScores": {k.lower(): float(v) for k, v in n.items()} | {"unextracted": float(len(run.extraction.unextracted))}}
+
+
+def graded_or_error(make: Callable[[dict[str, Any]], RunRecord], variables: dict[str, Any], needed: tuple[str, ...] = ("data", "config")) -> dict[str, Any]:
+    """The same for a test's variables: one that is missing, or an error on the way, is a result that does not pass."""
+    missing = [x for x in needed if variables.get(x) in (None, "")]
+    try:
+        if missing:
+            raise KeyError(f"missing variables: {', '.join(missing)}")
+        return graded(make(variables))
+    except Exception as e:
+        return {"pass": False, "score": 0.0, "reason": f"{type(e).__name__}: {e.args[0] if e.args else e}", "namedScores": {}}

@@ -328,6 +328,71 @@ def test_corruption_benchmark(ds):
     assert rows["instruction_in_data"]["missed"] == 0 and rows["overall"]["false_alarms"] == 0
 
 
+def test_recorded_benchmark(ds, tmp_path):
+    from claimcheck.evaluation import recorded, scoring
+
+    claims = [point(id="a", span="revenue was 2,376.00", value=2376.0), point(id="b", span="rio had 12 orders", metric="orders", subject="rio", value=12)]
+    body = ". ".join(c.span for c in claims)
+    suite = [v for v in corrupt.generate(body, claims, CFG, seeds=(1, 2)) if v.cls != "instruction_in_data"]
+    asked, refused = [], [1]
+
+    class Model:
+        """Extracts what a text states, under ids of its own."""
+
+        def extract(self, prompt, text_, schema):
+            if refused:
+                refused.pop()
+                raise ConnectionError("too many calls")
+            asked.append(text_)
+            v = next(v for v in suite if v.text == text_)
+            return json.dumps([c.model_dump() | {"id": f"x{k}"} for k, c in enumerate(v.claims)])
+
+    waits = []
+    recorder = recorded.Recorder(str(tmp_path / "r"), "m", Model(), calls_per_minute=60, clock=lambda: 0.0, wait=waits.append)
+    out = recorded.run(ds, CFG, suite, recorder)
+    rows = {r["group"]: r for r in runner.class_rows(out).collect()}
+    assert rows["wrong_figure"]["detection_rate"] == 1.0 and rows["fabricated_metric"]["abstained"] == rows["fabricated_metric"]["n"] and recorder.rate == 30
+    plain = {(r["seed"], r["cls"], r["claim_id"]): r["outcome"] for r in runner.run(ds, CFG, body, suite).collect()}
+    assert {(r["seed"], r["cls"], r["claim_id"]): r["outcome"] for r in out.collect()} == plain
+    # resumed: nothing is asked again; replayed without a model; a text without a recording is an error
+    n = len(asked)
+    again = recorded.Recorder(str(tmp_path / "r"), "m")
+    assert recorded.run(ds, CFG, suite, again).count() == len(suite) and len(asked) == n and again.calls == 0 and again.replayed == len({v.text for v in suite})
+    with pytest.raises(StaleRecording):
+        again.answers("another text")
+    with pytest.raises(StaleRecording):
+        recorded.Recorder(str(tmp_path / "r"), "other model").answers(suite[0].text)
+    # a claim elsewhere in the text, or with another figure, does not carry the corruption
+    v = next(v for v in suite if v.cls == "wrong_figure")
+    wrong = scoring.altered(v)
+    other = next(c for c in v.claims if c.id != v.claim_id)
+    assert scoring.hit(v, [other], CFG) is None and scoring.hit(v, [wrong.model_copy(update={"id": "q", "value": -1.0})], CFG) is None and scoring.hit(v, [other, wrong], CFG) is wrong
+    assert scoring.outcome(v, [other], verify_claims(ds, [other], CFG), CFG)[0] == "missed"
+    from claimcheck.claims import fingerprint
+
+    answers = {fingerprint(v.text): {"faithful": False, "problems": [{"span": wrong.span, "reason": ""}]}, fingerprint(body): {"faithful": True, "problems": []}}
+    score = scoring.judge_score([v, next(x for x in suite if x.text != v.text)], answers, body)
+    assert score == {"answered": 1, "unanswered": 1, "detected": 1, "localised": 1, "false_alarm_on_clean": False}
+    assert scoring.distinct(suite)["texts"] == len({v.text for v in suite})
+
+
+def test_agreement_bindings_and_results(ds):
+    a = point(id="a", span="revenue 1", subject="rio", period="2017")
+    b = point(id="z", span="revenue 1", subject="RJ", period="2017-01 to 2017-12")
+    s = extraction.score("revenue 1", [a], [b])
+    assert s.bindings()["subject"] == (0, 1) and s.bindings(CFG)["subject"] == (1, 1) and s.bindings()["period"] == (1, 1)
+    verdicts = verify_claims(ds, [b], CFG)
+    assert s.agreement({"a": verdicts[0].verdict}, verdicts) == (1, 1) and s.agreement({"a": "ERROR"}, verdicts) == (0, 1) and s.agreement({}, verdicts) == (0, 0)
+    body = "revenue 1.00 and 7 more"
+    r = run(ds, body, [point(id="a", span="revenue 1.00").model_dump()], CFG)
+    assert "FAIL a: 'revenue 1.00'" in R.graded(r)["reason"] and R.graded(r)["namedScores"]["unextracted"] == 1.0
+    assert R.graded_or_error(lambda v: r, {"data": "d"})["reason"].startswith("KeyError: missing variables: config") and R.graded_or_error(lambda v: r, {"data": "d", "config": "c"}) == R.graded(r)
+    assert R.graded_or_error(lambda v: 1 / 0, {"data": "d", "config": "c"})["pass"] is False
+    assert '<u title="in no claim">7</u>' in R.to_html(r, body)
+    M3 = verify_claims(ds, [point(id="m", span="takings 1")], CFG)
+    assert "aliases" in R.stub(M3)
+
+
 def test_extraction_score():
     a, b, c = (point(id=k, span=s) for k, s in (("a", "revenue 1"), ("b", "orders 2"), ("c", "days 3")))
     s = extraction.score("revenue 1, orders 2, days 3", [a, b, c], [point(id="x", span="revenue 1, orders"), point(id="y", span="absent")])
