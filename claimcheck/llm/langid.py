@@ -33,7 +33,7 @@ UNKNOWN = "und"
 SAMPLE_ROWS = 2000
 #: Rows of each label at least, however many labels there are.
 LABEL_ROWS = 20
-SALTS = 64
+SALTS = 8
 STEP = 1 << 20
 
 

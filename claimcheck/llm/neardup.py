@@ -41,7 +41,7 @@ BASE, RATE = 1.001, 20.0
 #: A pair is dropped unverified where the likelihood peaks this far below the threshold (5 standard errors).
 MARGIN = 0.14
 #: Shingles of a tile, members that meet one document in a task.
-TILE, MEMBERS = 400_000, 512
+TILE, MEMBERS = 100_000, 512
 SALTS = 16
 BITMAP = 1 << 22
 
@@ -232,17 +232,23 @@ def _tile_pairs(members: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
     return placed, within.union(across).union(large)
 
 
-def _in_bitmap(docs: DataFrame, family: DataFrame) -> DataFrame:
-    """The documents whose id's hash is among those of the nodes: all of these, few others.
+def _flagged(docs: DataFrame, id_col: str, nodes: DataFrame) -> DataFrame:
+    """The documents with ``__in``: whether their id's hash is among those of ``nodes`` (node), so for all of these and few others.
 
-    The bitmap has BITMAP bits (half a megabyte) however many members there are; it only saves shuffling.
+    The bitmap has BITMAP bits (half a megabyte) however many nodes there are; it only saves shuffling.
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP)) + 1
-    bits = family.select(place("node").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    at = F.bitmap_bit_position(place("id"))
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = docs.withColumn("bucket", F.bitmap_bucket_number(place("id"))).join(F.broadcast(bits), "bucket")
-    return found.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(pmod(xxhash64(id), {0}) + 1) % 8 as int))".format(BITMAP))) != 0).select("id", "text")
+    own = F.col(f"`{id_col}`")
+    bits = nodes.select(place("node").alias("__p")).groupBy(F.bitmap_bucket_number("__p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__p")).alias("__bits"))
+    at = F.bitmap_bit_position(place(own))
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (at % 8 + 1).cast("int"))
+    found = docs.withColumn("__bucket", F.bitmap_bucket_number(place(own))).join(F.broadcast(bits), "__bucket", "left")
+    return found.withColumn("__in", F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))).drop("__bucket", "__bits")
+
+
+def _in_bitmap(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    return _flagged(docs, "id", nodes).where("__in").select("id", "text")
 
 
 def near_duplicates(
@@ -336,12 +342,15 @@ def drop_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_c
     id, or with a text without words, are no copies of others. An empty table gives no rows.
     """
     found = written(near_duplicates(documents, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("__id"), "kept"), "found")
-    gone = found.where("not kept").select("__id").distinct()
-    kept = documents.join(gone, documents[id_col].eqNullSafe(gone["__id"]), "left_anti")
+    gone = written(found.where("not kept").select("__id").distinct(), "gone")
+    # most documents are none of these by a bitmap, and are not shuffled
+    flagged = _flagged(documents, id_col, gone.select(F.col("__id").alias("node")))
+    names = [F.col(f"`{c}`") for c in documents.columns]
+    doubtful = flagged.where("__in").select(names)
+    kept = flagged.where("not __in").select(names).unionByName(doubtful.join(gone.hint("merge"), doubtful[id_col] == gone["__id"], "left_anti"))
     again = found.where("__id is not null").groupBy("__id").count().where("count > 1").select("__id")
     if not again.agg(F.count(F.lit(1))).first()[0]:
         return kept
-    names = [F.col(f"`{c}`") for c in documents.columns]
     first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
     repeated = kept.join(again, kept[id_col] == again["__id"], "left_semi").withColumn("__place", F.row_number().over(first)).where("__place = 1").select(names)
     return kept.join(again, kept[id_col].eqNullSafe(again["__id"]), "left_anti").unionByName(repeated)

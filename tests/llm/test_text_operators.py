@@ -96,7 +96,7 @@ def family(rng, base, n, edits):
     return out
 
 
-@pytest.mark.parametrize("k, tile", [(5, 400_000), (2, 500)])
+@pytest.mark.parametrize("k, tile", [(5, 100_000), (2, 500)])
 def test_near_duplicates(spark, k, tile):
     rng = np.random.default_rng(5)
     texts = [None, "", "  ", "a", "a", "A", "a b", "b a", " ".join(f"w{i}" for i in range(3000)), " ".join(f"w{i}" for i in range(3010))]
@@ -132,7 +132,7 @@ def test_pairs_that_meet_no_smallest_are_found(spark, monkeypatch):
     texts += [" ".join(words[4 * i : 4 * i + 90]) for i in range(17)]
     rows = [(int(i), t) for i, t in enumerate(texts)]
     want = {i: c for i, (_, c) in classes(rows, 2).items()}
-    for tile in (400_000, 300):
+    for tile in (100_000, 300):
         got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(spark, rows), shingle=2, tile=tile, bands=60, rows=1).collect()}
         assert got == want
 
