@@ -249,18 +249,57 @@ def local_links(match: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Edges that one step of ``stars`` joins; bounds the memory of a Python worker.
+BLOCK = 200_000
+
+
+def stars(edges: DataFrame, block: int) -> DataFrame:
+    """Fewer edges (u, v) with the same components: of each block of edges, each node to the smallest that the block links it to.
+
+    A block are at most ``block`` edges of one partition, and the rest of an Arrow batch.
+    """
+
+    def star(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        nodes = pa.chunked_array([*t["u"].chunks, *t["v"].chunks]).unique()
+        nodes = nodes.take(pc.sort_indices(nodes))
+        forest = Forest(len(nodes))
+        for x, y in zip(*(pc.index_in(t[c], value_set=nodes).to_pylist() for c in ("u", "v"))):
+            forest.join(x, y)
+        root = np.array([forest.root(x) for x in range(len(nodes))], np.int64)
+        at = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(at)), nodes.take(pa.array(root[at]))], ["u", "v"])
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= block:
+                yield star(held)
+                held, n = [], 0
+        if held:
+            yield star(held)
+
+    return edges.select("u", "v").mapInArrow(lean(contract), edges.select("u", "v").schema)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", *, block: int = BLOCK) -> DataFrame:
     """(node, component) for each node of an edge, component the smallest reachable node.
 
-    Alternating large-star and small-star steps, until each node has one edge, to a node that has
-    none itself. A round is two partially aggregated minima and two joins that can be split where a
+    Blocks of edges are first contracted to stars, each by itself. Then alternating large-star and
+    small-star steps, until each node has one edge, to a node that has
+    none itself: where all edges are one block, that holds from the start. A round is two partially
+    aggregated minima and two joins that can be split where a
     node has very many edges; each round is written to the shared folder. Only a count reaches the
     driver. Edges with null or equal
     ends are left out; an empty input gives an empty result.
     """
     kind = edges.schema[a].dataType
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"`{a}` != `{b}`").where("u is not null and v is not null").distinct()
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"`{a}` != `{b}`").where("u is not null and v is not null")
     e = written(e, "edges")
+    e = written(stars(e.coalesce(max(1, -(-e.count() // block))), block), "edges")
     while True:
         several = e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
         between = e.select("u").join(e.select(F.col("v").alias("u")), "u", "left_semi")

@@ -215,6 +215,7 @@ def _tile_pairs(members: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
     are not compared with each other; the others of a family share tiles.
     """
     sizes = members.groupBy("family", "comp").agg(F.ceil(F.sum("n") / F.lit(tile)).cast("int").alias("t"), F.sum("n").alias("size"))
+    sizes = written(sizes, "sizes")  # read by each of the tables below
     big = sizes.where("t > 1").select("family", "comp", "t")
     pool = sizes.where("t <= 1").groupBy("family").agg(F.ceil(F.sum("size") / F.lit(tile)).cast("int").alias("p"))
     named = lambda comp, i: F.xxhash64("family", comp, i)
@@ -286,7 +287,7 @@ def near_duplicates(
     of = lambda rep, n, regs: unique.select(F.col("rep").alias(rep), F.col("n").alias(n), F.col("regs").alias(regs))
     pairs = written(_likely(star.join(of("rep", "n", "x").hint("merge"), "rep").join(of("low", "low_n", "y").hint("merge"), "low"), m, max(0.0, over / under - MARGIN)).distinct(), "pairs")
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    nodes = lambda x: x.select(F.col("id").alias("node")).distinct()
+    nodes = lambda x: x.select(F.col("id").alias("node"))
     sorted_ = lambda x, n, *by: x.repartition(max(least, -(-n // 4096)), *by)
 
     def confirmed(pairs: DataFrame, n: int) -> DataFrame:
@@ -294,7 +295,7 @@ def near_duplicates(
         dealt = pairs.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)).cast("int").alias("salts"))
         heads = dealt.select("low", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("part"), F.col("low").alias("id"))
         tails = pairs.join(dealt.hint("merge"), "low").select("low", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("part"), F.col("rep").alias("id"))
-        both = heads.union(tails)
+        both = written(heads.union(tails), "asked")  # read twice
         # neither side has a bound, so neither is ever broadcast; most texts meet no other and are left out by a bitmap first
         text = _in_bitmap(docs, nodes(both)).join(both.hint("merge"), "id")
         return written(_star_links(sorted_(text, n, "low", "salt").sortWithinPartitions("low", "salt", "part"), shingle, over, under), "links")

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from claimcheck.llm import common
 from claimcheck.llm.common import components
 from claimcheck.llm.embeddings import Tile, matches, near_vectors
 
@@ -76,3 +77,15 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
     text = components(spark.createDataFrame([("b", "a"), ("c", "b")], "a string, b string"))
     assert {tuple(r) for r in text.collect()} == {("a", "a"), ("b", "a"), ("c", "a")}
+
+
+def test_components_of_one_block_need_no_rounds(spark, monkeypatch):
+    """A chain in one block is one star at once: two tables are written, whatever its length; smaller blocks need rounds and give the same."""
+    made, written = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, name: made.append(name) or written(df, name))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(i + 1, i) for i in range(0, 200)] + [(500, 499), (500, 500), (None, 1)], "a long, b long").repartition(7)
+    want = {i: 0 for i in range(201)} | {499: 499, 500: 499}
+    assert {r["node"]: r["component"] for r in components(edges).collect()} == want
+    assert made == ["edges", "edges"]
+    assert {r["node"]: r["component"] for r in components(edges, block=20).collect()} == want
+    assert len(made) > 4
